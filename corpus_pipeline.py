@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import exact, toxicity
+from quadrat.llm import decontam, exact, neardup, packing, toxicity
 from quadrat.llm.common import shared_folder, table
 
 
@@ -16,7 +16,19 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.deduplicate(docs)
 
 
-STAGES = [("toxicity", _toxicity), ("exact_dedup", _exact)]
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(docs)
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, table(spark, "benchmark", sf_dir))
+
+
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [("toxicity", _toxicity), ("exact_dedup", _exact), ("near_dedup", _near), ("decontamination", _decontaminate), ("packing", _pack)]
 ORACLE_SQL = None
 
 

@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, toxicity
+from . import decontam, exact, neardup, packing, toxicity
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, "documents", sf_dir), table(spark, "benchmark", sf_dir))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicates(table(spark, "documents", sf_dir))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, "documents", sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, "documents", sf_dir), table(spark, "labels", sf_dir))
 
@@ -19,7 +31,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_toxicity, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op4_minhash_near_dedup, op5_best_fit_packing, op6_toxicity, op8_exact_dedup)}
 
 
 ORACLE_SQL = {
