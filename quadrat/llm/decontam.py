@@ -217,17 +217,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, i
     return out
 
 
+def _holds(docs: DataFrame, index: Index):
+    box = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.arrow_udf("boolean")
+    def leaked(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), bool)
+        out[[x[0] for x in box.value.matches(texts)]] = True
+        return pa.array(out)
+
+    return leaked
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
     """docs without the rows that hold a passage of the benchmark."""
     flag = common.fresh(docs, "leaked")[0]
     for index in _indexes(benchmark, threshold, pass_bytes, item_col, item_text_col):
-        box = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.arrow_udf("boolean")
-        def leaked(texts: pa.Array, box=box) -> pa.Array:
-            out = np.zeros(len(texts), bool)
-            out[[x[0] for x in box.value.matches(texts)]] = True
-            return pa.array(out)
-
-        docs = docs.withColumn(flag, leaked(F.col(text_col))).where(~F.col(flag)).drop(flag)
+        docs = docs.withColumn(flag, _holds(docs, index)(F.col(text_col))).where(~F.col(flag)).drop(flag)
     return docs
