@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, neardup, packing, toxicity
-from .common import table
+from . import decontam, exact, html, neardup, packing, shards, tokenstore, toxicity
+from .common import shared_folder, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, "documents", sf_dir), table(spark, "benchmark", sf_dir))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    return shards.sharded(table(spark, "documents", sf_dir), folder)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(table(spark, "documents", sf_dir))
 
@@ -30,8 +36,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(table(spark, "documents", sf_dir))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    return tokenstore.write(table(spark, "documents", sf_dir), folder)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, "pages", sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_minhash_near_dedup, op5_best_fit_packing, op6_toxicity, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op4_minhash_near_dedup, op5_best_fit_packing, op6_toxicity, op8_exact_dedup, op9_token_output, op10_html_extraction)}
 
 
 ORACLE_SQL = {
