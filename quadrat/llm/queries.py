@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, html, neardup, packing, shards, tokenstore, toxicity
+from . import decontam, exact, html, licenses, neardup, packing, shards, tokenstore, toxicity
 from .common import shared_folder, table
 
 
@@ -32,6 +32,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, "documents", sf_dir), table(spark, "labels", sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, "documents", sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(table(spark, "documents", sf_dir))
 
@@ -46,7 +50,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op4_minhash_near_dedup, op5_best_fit_packing, op6_toxicity, op8_exact_dedup, op9_token_output, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op4_minhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_license_scan, op8_exact_dedup, op9_token_output, op10_html_extraction)}
 
 
 ORACLE_SQL = {
