@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, html, licenses, neardup, packing, shards, tokenstore, toxicity
+from . import decontam, exact, html, licenses, neardup, packing, shards, threads, tokenstore, toxicity
 from .common import shared_folder, table
 
 
@@ -20,6 +20,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(table(spark, "documents", sf_dir), folder)
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.conversations(table(spark, "conversations", sf_dir))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(table(spark, "documents", sf_dir))
 
@@ -50,7 +54,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op4_minhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_license_scan, op8_exact_dedup, op9_token_output, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_chat_formatting, op4_minhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_license_scan, op8_exact_dedup, op9_token_output, op10_html_extraction)}
 
 
 ORACLE_SQL = {
