@@ -5,8 +5,11 @@ Rows whose score is null, of comparisons that failed, count as absent.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def symmetric(pairs: DataFrame, keys: DataFrame, fill: float = 0.0) -> DataFrame:
@@ -40,10 +43,6 @@ def write_matrix_text(matrix: DataFrame, path: str) -> None:
 
 def matrix_bytes(matrix: DataFrame) -> DataFrame:
     """(row, data): each row as big-endian float64, for write_matrix_binary or any byte sink."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     @F.arrow_udf(T.BinaryType())
     def pack(rows: pa.Array) -> pa.Array:
         return pa.array([np.array(r, ">f8").tobytes() for r in rows.to_pylist()], pa.binary())
