@@ -6,9 +6,9 @@ weighs the most. For each item of L words every window of L words of a document
 is of interest. A window's weighted Jaccard similarity with an item is at most
 the weight of its shingles that any item has over the item's weight; windows
 below the threshold by this bound can't be reported and are skipped exactly.
-The others get a 64-bit SimHash, and a multi-index of 7 blocks finds items of
-the same length: two fingerprints within RADIUS = 20 bits agree in some block
-up to 2 bits (7 * 3 - 1 = 20), and the index holds each item under all block
+The others get a 64-bit SimHash, and a multi-index of 8 blocks finds items of
+the same length: two fingerprints within RADIUS = 23 bits agree in some block
+up to 2 bits (8 * 3 - 1 = 23), and the index holds each item under all block
 values within 2 bits, so no fingerprint within the radius is missed. Candidates
 within the radius are verified by exact weighted Jaccard similarity of shingle
 multisets.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 WIDTH = 2
-RADIUS = 20
-BLOCK_BITS = (9, 9, 9, 9, 9, 9, 10)
+RADIUS = 23
+BLOCK_BITS = (8,) * 8
 THRESHOLD = 0.5
 #: Bytes of index and of shingles of an item of ordinary length.
 ITEM_BYTES = 8192
