@@ -157,6 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = rows.select(F.col("j").cast("long"), "t", F.col("y").cast("long"))
     one = rows.repartition(1).mapInArrow(run, "f array<long>, w array<double>, b double").first()
+    if one is None:  # no labelled document at all
+        return fit(pa.array([], pa.string()), np.empty(0))
     return np.array(one.f, np.int64), np.array(one.w, float), one.b
 
 
