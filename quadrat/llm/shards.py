@@ -173,6 +173,9 @@ def sharded(docs: DataFrame, folder: str, target_bytes: int = TARGET_BYTES, id_c
     """Append docs to the store in `folder`, compact it, and return (doc_id, shard, version) as the store reads."""
     store = ShardStore(docs.sparkSession, folder, target_bytes)
     store.append(docs)
-    version = store.compact()["version"]
+    live = store.compact()
+    version = live["version"]
     store.vacuum()
+    if not live["shards"]:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("string").alias("shard"), F.lit(version).cast("long").alias("version")).limit(0)
     return store.read(version).select(F.col(id_col).alias("doc_id"), F.col("_metadata.file_name").alias("shard"), F.lit(version).cast("long").alias("version"))
