@@ -3,9 +3,10 @@
 Features are word 2-shingles, weighted 1 + ln((N + 1) / (df + 1)) by their
 document frequency among the N benchmark items; a shingle that no item has
 weighs the most. For each item of L words every window of L words of a document
-is of interest. A window's weighted Jaccard similarity with an item is at most
-the weight of its shingles that any item has over the item's weight; windows
-below the threshold by this bound can't be reported and are skipped exactly.
+is of interest. If K is the weight of a window's shingles that any item has, its
+weighted Jaccard similarity with an item is at most K / (window + item - K);
+windows below the threshold by this bound can't be reported and are skipped
+exactly.
 The others get a 64-bit SimHash, and a multi-index of 8 blocks finds items of
 the same length: two fingerprints within RADIUS = 23 bits agree in some block
 up to 2 bits (8 * 3 - 1 = 23), and the index holds each item under all block
@@ -100,7 +101,10 @@ class Index:
         self.size = np.array([len(c) for c in codes], np.int64)
         total = np.array([float((c * w).sum()) for _, c, w in self.items])
         self.lengths = np.unique(self.size)
-        self.least = np.array([threshold * total[self.size == x].min() for x in self.lengths])
+        self.total = total
+        #: item * vocabulary size + shingle, for each item's shingles, sorted
+        self.member = np.concatenate([k * len(self.vocabulary) + np.searchsorted(self.vocabulary, c) for k, (c, _) in enumerate(sets)]) if n else np.empty(0, np.int64)
+        self.lightest = np.array([total[self.size == x].min() for x in self.lengths])
         flat = np.concatenate(codes) if n else np.empty(0, np.uint64)
         ends = np.cumsum(self.size)
         self.prints = simhash(running_sums(flat, self.weight[np.searchsorted(self.vocabulary, flat)]), ends - self.size, ends) if n else np.empty(0, np.uint64)
@@ -135,6 +139,17 @@ class Index:
         near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
         return w[near], i[near]
 
+    def _shared(self, shingle: np.ndarray, weight: np.ndarray, starts: np.ndarray, ends: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The weight of each window's shingles that its item has, an upper bound of what they share."""
+        n = ends - starts
+        pair = np.repeat(np.arange(len(starts)), n)
+        at = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+        some = shingle[at] >= 0
+        pair, at = pair[some], at[some]
+        key = item[pair] * len(self.vocabulary) + shingle[at]
+        has = self.member[np.minimum(np.searchsorted(self.member, key), len(self.member) - 1)] == key
+        return np.bincount(pair[has], weight[at[has]], len(starts))
+
     def matches(self, texts: pa.Array) -> list[tuple[int, int, float, int]]:
         """(row, item, similarity, first word) of the best window of each row and item."""
         out: list[tuple[int, int, float, int]] = []
@@ -153,11 +168,13 @@ class Index:
             np.cumsum(gain, out=gain)
             doc_end = np.repeat(first[1:], np.diff(first))
             start = np.arange(len(code))
-            start = start[gain[np.minimum(start + self.lengths[-1], doc_end)] - gain[start] >= self.least.min() - 1e-9]
+            start = start[gain[np.minimum(start + self.lengths[-1], doc_end)] - gain[start] >= self.threshold * self.lightest.min() - 1e-9]
             if not len(start):
                 continue
             weight = np.full(len(code), self.most)
             weight[hit] = self.weight[at]
+            shingle = np.full(len(code), -1)
+            shingle[hit] = at
             # only the stretches under some window take part in the running sums
             under = np.zeros(len(code) + 1, np.int32)
             np.add.at(under, start, 1)
@@ -165,16 +182,25 @@ class Index:
             under = np.cumsum(under[:-1]) > 0
             place = np.concatenate([[0], np.cumsum(under)])
             total = running_sums(code[under], weight[under])
+            whole = np.concatenate([[0], np.cumsum(weight[under])])
             best: dict[tuple[int, int], tuple[float, int]] = {}
             for rank, size in enumerate(self.lengths):
                 end = np.minimum(start + size, doc_end[start])
-                keep = gain[end] - gain[start] >= self.least[rank] - 1e-9
+                known = gain[end] - gain[start]
+                near = known >= self.threshold * self.lightest[rank] - 1e-9
+                s, e, known = start[near], end[near], known[near]
+                # what is shared is at most `known`, so the similarity is at most known / (window + item - known)
+                both = whole[place[e]] - whole[place[s]]
+                keep = known * (1 + self.threshold) >= self.threshold * (both + self.lightest[rank]) - 1e-9
                 if not keep.any():
                     continue
-                s, e = start[keep], end[keep]
+                s, e, known, both = s[keep], e[keep], known[keep], both[keep]
                 for lo in range(0, len(s), 1 << 16):
                     s_, e_ = s[lo : lo + (1 << 16)], e[lo : lo + (1 << 16)]
                     w, i = self.candidates(rank, simhash(total, place[s_], place[e_]))
+                    mine = self._shared(shingle, weight, s_[w], e_[w], i)
+                    can = mine * (1 + self.threshold) >= self.threshold * (both[lo + w] + self.total[i]) - 1e-9
+                    w, i = w[can], i[can]
                     for x, item in zip(w.tolist(), i.tolist()):
                         sim = weighted_jaccard(code[s_[x] : e_[x]], weight[s_[x] : e_[x]], self.items[item])
                         if sim >= self.threshold:
