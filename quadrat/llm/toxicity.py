@@ -76,7 +76,7 @@ def _features(buf: np.ndarray, offsets: np.ndarray, kept: np.ndarray | None) ->
     return np.concatenate(docs), np.concatenate(feats)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 400, least_docs: int = 4, least_z: float = 4.0) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 400, least_docs: int = 4, least_z: float = 5.0) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, intercept) with the ratios folded into the weights."""
     none = np.empty(0, np.int64), np.empty(0), -30.0
     y = toxic.astype(float)
@@ -91,7 +91,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 400, least_docs: int =
         p += np.bincount(f[is_toxic], minlength=size)
         q += np.bincount(f[~is_toxic], minlength=size)
     ratio = np.log((p + 0.5) / pos) - np.log((q + 0.5) / neg)
-    z = np.abs(ratio) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+    mean = (p + q) / len(y)
+    spread = np.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg))
+    z = np.divide(np.abs(p / pos - q / neg), spread, out=np.zeros(size), where=spread > 0)
     z[p + q < least_docs] = 0
     chosen = np.flatnonzero(z > least_z)
     if len(chosen) > MAX_FEATURES:
