@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators.pairs import hilbert_rank, positions, theta_pairs
+from .operators.pairs import hilbert_rank, ranked, theta_pairs
 from .options import Options
 
 
@@ -24,6 +24,7 @@ class Application:
     compare: either a function of two payload columns, which stays in the JVM, or
       - block: (payloads, payloads) -> matrix of results, for dense kernels, or
       - pair: (payload, payload) -> result, called for each pair.
+    Payloads that are vectors of one length reach these as a NumPy matrix.
     result: Spark type of a result. post: results DataFrame -> DataFrame.
     """
 
@@ -48,7 +49,7 @@ def all_pairs(app: Application, items: DataFrame, options: Options = Options())
     are not affected.
     """
     prepared = app.prep(items) if app.prep else items
-    keyed = positions(prepared.select(F.col(app.key).alias("key"), "payload"), "key")
+    keyed, n = ranked(prepared.select(F.col(app.key).alias("key"), "payload"), "key")
     strategy = options.strategy if options.strategy != "auto" else "theta" if app.expression is not None else "tile"
     if strategy == "theta":
         if app.expression is None:
@@ -56,14 +57,13 @@ def all_pairs(app: Application, items: DataFrame, options: Options = Options())
         pairs = theta_pairs(keyed, options.include_diagonal)
         out = pairs.select(F.col("i.key").alias("i"), F.col("j.key").alias("j"), app.expression(F.col("i.payload"), F.col("j.payload")).alias("result"), F.lit(None).cast("string").alias("error"))
     else:
-        out = _tiled(app, keyed, options)
+        out = _tiled(app, keyed, n, options)
     return app.post(out) if app.post else out
 
 
-def _tiled(app: Application, keyed: DataFrame, options: Options) -> DataFrame:
+def _tiled(app: Application, keyed: DataFrame, n: int, options: Options) -> DataFrame:
     """Each item is sent to the tiles of its row and its column; a tile is one vectorised block."""
     spark = keyed.sparkSession
-    n = keyed.count()
     edge = options.tile or tile_edge(n, spark.sparkContext.defaultParallelism)
     last = max(0, (n - 1) // edge)
     t = F.floor(F.col("pos") / edge).cast("long")
@@ -83,20 +83,32 @@ def _tiled(app: Application, keyed: DataFrame, options: Options) -> DataFrame:
         side = table["side"].to_numpy()
         for s in (0, 1):
             part = table.filter(pa.array(side == s)).sort_by("pos")
-            sides.append((part["key"].combine_chunks(), part["pos"].to_numpy(), part["payload"].to_pylist()))
+            sides.append((part["key"].combine_chunks(), part["pos"].to_numpy(), _payloads(part["payload"].combine_chunks())))
         (ki, pi, xi), (kj, pj, xj) = sides
         keep = pi[:, None] <= pj[None, :] if diagonal else pi[:, None] < pj[None, :]
         a, b = np.nonzero(keep)
         results, errors = _compare(block, pair, xi, xj, a, b, strict)
-        return pa.Table.from_arrays([ki.take(pa.array(a)), kj.take(pa.array(b)), pa.array(results, arrow), pa.array(errors, pa.string())], ["i", "j", "result", "error"])
+        return pa.Table.from_arrays([ki.take(pa.array(a)), kj.take(pa.array(b)), pa.array(results, arrow), pa.nulls(len(a), pa.string()) if errors is None else pa.array(errors, pa.string())], ["i", "j", "result", "error"])
 
     return placed.groupBy("ti", "tj").applyInArrow(run, schema)
 
 
-def _compare(block: Callable | None, pair: Callable | None, xi: list, xj: list, a: np.ndarray, b: np.ndarray, strict: bool) -> tuple[object, list[str | None]]:
+def _payloads(column: pa.Array) -> object:
+    """A matrix if the payloads are vectors of one length without nulls, otherwise a list."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type) and len(column) and not column.null_count:
+        flat, width = column.flatten(), np.diff(column.offsets.to_numpy())
+        if width[0] > 0 and (width == width[0]).all() and not flat.null_count:
+            return flat.to_numpy().reshape(len(column), width[0])
+    return column.to_pylist()
+
+
+def _compare(block: Callable | None, pair: Callable | None, xi: object, xj: object, a: np.ndarray, b: np.ndarray, strict: bool) -> tuple[object, list[str | None] | None]:
+    """Results of the pairs (a, b), and their errors; None if there is none."""
     if block is not None:
         try:
-            return np.asarray(block(xi, xj))[a, b], [None] * len(a)
+            return np.asarray(block(xi, xj))[a, b], None
         except Exception:
             if strict:
                 raise

@@ -3,27 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def ranked(items: DataFrame, *keys: str, pos: str = "pos") -> tuple[DataFrame, int]:
+    """positions() and the number of items."""
+    place = items.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    place = place.checkpoint() if items.sparkSession.sparkContext.getCheckpointDir() else place.persist()
+    part = F.shiftright("_at", 33).cast("int")
+    counts = {r.p: r.n for r in place.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    offsets = F.array(*[F.lit(b).cast("long") for b in before or [0]])
+    row = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return place.withColumn(pos, F.get(offsets, part) + row).drop("_at"), total
+
+
 def positions(items: DataFrame, *keys: str, pos: str = "pos") -> DataFrame:
     """items with a dense position 0..n-1 in the order of the keys.
 
-    Items are range-partitioned and sorted; a position is the count of rows in
-    the partitions before, n numbers in all, plus the place within the own one. So
-    no task ever holds more than a range. The sorted items are persisted, as
-    they are read twice.
+    Items are range-partitioned and sorted; a position is the number of rows in
+    the partitions before plus the place within the own one. So no task ever
+    holds more than a range, and only one count a partition comes to the driver.
+    The sorted items are checkpointed where there is a folder for that, and
+    persisted elsewhere, as they are read twice.
     """
-    place = items.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    place = place.checkpoint() if items.sparkSession.sparkContext.getCheckpointDir() else place.persist()
-    part = F.shiftright("_at", 33)
-    counts = place.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    row = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    out = place.join(F.broadcast(offsets), part == F.col("_part"))
-    return out.withColumn(pos, (F.col("_before") + row).cast("long")).drop("_at", "_part", "_before")
+    return ranked(items, *keys, pos=pos)[0]
 
 
 def triangle_size(n: Column, include_diagonal: bool = False) -> Column:
