@@ -1,15 +1,20 @@
 """Composition vectors for alignment-free sequence comparison.
 
-Sequences are split at characters outside the alphabet, so a window never spans
-one. k-mers are integers, base-|alphabet| numbers of 64 bits, from the start.
+A window never spans a character outside the alphabet. k-mers are integers, base-|alphabet| numbers of 64 bits, from the start.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.sequences import kmer_counts
+
 ALPHABETS = {"dna": "ACGT", "protein": "ACDEFGHIKLMNPQRSTVWYX"}
 _DIGITS = "0123456789ABCDEFGHIJK"
 
@@ -28,22 +33,24 @@ def code(mer: Column, alphabet: str) -> Column:
     return F.conv(F.translate(mer, letters, _DIGITS[: len(letters)]), len(letters), 10).cast("long")
 
 
-def runs(docs: DataFrame, doc: str, seq: str, alphabet: str, least: int) -> DataFrame:
-    """(doc, run): maximal runs of letters of the alphabet that hold a window."""
-    letters = ALPHABETS[alphabet]
-    part = F.explode(F.split(F.col(seq), f"[^{letters}]+"))
-    return docs.select(F.col(doc).alias("doc"), part.alias("run")).where(F.length("run") >= least)
-
-
 def counts(docs: DataFrame, doc: str, seq: str, k: int, alphabet: str = "dna") -> DataFrame:
-    """(doc, n, code, cnt) for n = k, k - 1 and k - 2."""
+    """(doc, n, code, cnt) for n = k, k - 1 and k - 2.
+
+    Each sequence is counted where it lies, in whole-buffer passes; what is
+    shuffled, to merge rows that share a doc, is one row a distinct k-mer.
+    """
     if not 3 <= k <= most_k(alphabet):
         raise ValueError(f"k must be from 3 to {most_k(alphabet)}")
-    r = runs(docs, doc, seq, alphabet, k - 2)
-    size = r.select("doc", "run", F.explode(F.array(*[F.lit(k - d) for d in (0, 1, 2)])).alias("n")).where(F.length("run") >= F.col("n"))
-    at = size.select("doc", "run", "n", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1)).alias("at"))
-    mers = at.select("doc", "n", code(F.col("run").substr(F.col("at"), F.col("n")), alphabet).alias("code"))
-    return mers.groupBy("doc", "n", "code").agg(F.count("*").alias("cnt"))
+    letters = ALPHABETS[alphabet]
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, n, c, cnt = kmer_counts(b.column(1), letters, (k, k - 1, k - 2))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(n.astype(np.int32)), pa.array(c), pa.array(cnt)], ["doc", "n", "code", "cnt"])
+
+    each = docs.select(F.col(doc).alias("doc"), F.col(seq).alias("seq")).mapInArrow(run, f"doc {kind}, n int, code long, cnt long")
+    return each.groupBy("doc", "n", "code").agg(F.sum("cnt").alias("cnt"))
 
 
 def probabilities(counted: DataFrame) -> DataFrame:
@@ -84,10 +91,8 @@ def packed(docs: DataFrame, doc: str, vecs: DataFrame) -> DataFrame:
     return docs.select(F.col(doc).alias("doc")).join(v, "doc", "left").select("doc", F.coalesce("payload", F.array().cast("array<struct<code: bigint, val: double>>")).alias("payload"))
 
 
-def cosine_block(xs: list, ys: list):
+def cosine_block(xs: list, ys: list) -> np.ndarray:
     """Dot products of all pairs of two blocks of sparse vectors, by one dense product over their codes."""
-    import numpy as np
-
     codes = np.unique([e["code"] for v in (*xs, *ys) for e in v])
     dense = []
     for vs in (xs, ys):
