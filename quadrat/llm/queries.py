@@ -62,4 +62,33 @@ ORACLE_SQL = {
 SELECT doc_id, keep AS duplicate_of
 FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
 WHERE doc_id <> keep GROUP BY ALL""",
+    "op3_chat_formatting": r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS LAST, text NULLS LAST) AS k FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE k = 1),
+split AS (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM m WHERE text IS NOT NULL),
+lines AS (SELECT conv_id, turn, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line FROM split),
+marked AS (SELECT *, regexp_extract(line, '^[ \t]*(?:>[ \t]*)+') AS marks FROM lines),
+leveled AS (SELECT conv_id, turn, k, length(marks) - length(replace(marks, '>', '')) AS level, substr(line, length(marks) + 1) AS body FROM marked),
+kept AS (
+  SELECT * FROM (SELECT *, lead(level) OVER (PARTITION BY conv_id, turn ORDER BY k) AS next FROM leveled)
+  WHERE NOT (next > level AND regexp_matches(body, '(?i)\b(wrote|writes|said|schrieb|a écrit|écrit|escribió)\b[^\n]{0,40}:[ \t]*$')) OR next IS NULL),
+runs AS (
+  SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY k) AS run FROM (
+    SELECT *, CASE WHEN lag(level) OVER (PARTITION BY conv_id, turn ORDER BY k) = level THEN 0 ELSE 1 END AS new FROM kept WHERE level = 0 OR trim(body, E' \t\r\x0b\x0c') <> '')),
+passages AS (SELECT conv_id, turn, run, level, string_agg(body, chr(10) ORDER BY k) AS body FROM runs GROUP BY ALL),
+cut AS (SELECT conv_id, turn, level, unnest(string_split(regexp_replace(trim(regexp_replace(body, '\s+', ' ', 'g')), '([.!?…。！？]) ', '\1' || chr(1), 'g'), chr(1))) AS s FROM passages),
+sentences AS (SELECT conv_id, turn, level, array_to_string(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+'), ' ') AS s FROM cut),
+quoting AS (SELECT DISTINCT conv_id, turn FROM sentences WHERE level > 0 AND s <> ''),
+own AS (SELECT DISTINCT conv_id, turn AS source, s FROM sentences WHERE level = 0 AND s <> ''),
+votes AS (SELECT q.conv_id, q.turn, q.level, o.source, count(*) AS n FROM sentences q JOIN own o ON o.conv_id = q.conv_id AND o.s = q.s AND o.source < q.turn WHERE q.level > 0 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, source DESC) AS r FROM votes),
+clean AS (SELECT conv_id, turn, trim(string_agg(trim(body, chr(10)), chr(10) ORDER BY run), E' \n\t\r\x0b\x0c') AS text FROM passages JOIN quoting USING (conv_id, turn) WHERE level = 0 GROUP BY ALL),
+linked AS (
+  SELECT m.conv_id, m.turn, m.role, CASE WHEN q.turn IS NULL THEN m.text ELSE coalesce(c.text, '') END AS text, coalesce(b.source, lag(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn)) AS reply_to
+  FROM m LEFT JOIN best b ON b.conv_id = m.conv_id AND b.turn = m.turn AND b.r = 1 LEFT JOIN quoting q ON q.conv_id = m.conv_id AND q.turn = m.turn LEFT JOIN clean c ON c.conv_id = m.conv_id AND c.turn = m.turn),
+tree AS (
+  SELECT conv_id, turn, [turn] AS path FROM linked WHERE reply_to IS NULL
+  UNION ALL SELECT l.conv_id, l.turn, list_append(t.path, l.turn) FROM tree t JOIN linked l ON l.conv_id = t.conv_id AND l.reply_to = t.turn)
+SELECT l.conv_id, (row_number() OVER (PARTITION BY l.conv_id ORDER BY path) - 1)::BIGINT AS position, l.turn, l.role, l.reply_to, (len(path) - 1)::BIGINT AS depth, l.text
+FROM linked l JOIN tree USING (conv_id, turn)""",
 }
