@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, exact, html, licenses, neardup, packing, shards, threads, tokenstore, toxicity
 from .common import shared_folder, table
@@ -21,7 +22,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.conversations(table(spark, "conversations", sf_dir))
+    """A message that replies to nothing refers to itself here, so that the column has no nulls."""
+    return threads.conversations(table(spark, "conversations", sf_dir)).withColumn("reply_to", F.coalesce("reply_to", "turn"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,6 @@ linked AS (
 tree AS (
   SELECT conv_id, turn, [turn] AS path FROM linked WHERE reply_to IS NULL
   UNION ALL SELECT l.conv_id, l.turn, list_append(t.path, l.turn) FROM tree t JOIN linked l ON l.conv_id = t.conv_id AND l.reply_to = t.turn)
-SELECT l.conv_id, (row_number() OVER (PARTITION BY l.conv_id ORDER BY path) - 1)::BIGINT AS position, l.turn, l.role, l.reply_to, (len(path) - 1)::BIGINT AS depth, l.text
+SELECT l.conv_id, (row_number() OVER (PARTITION BY l.conv_id ORDER BY path) - 1)::BIGINT AS position, l.turn, l.role, coalesce(l.reply_to, l.turn) AS reply_to, (len(path) - 1)::BIGINT AS depth, l.text
 FROM linked l JOIN tree USING (conv_id, turn)""",
 }
