@@ -112,10 +112,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = not _unverified(light)
     rec, rank = common.fresh(docs, "recipe", "copy")
     r = F.col(rec)
-    spread = F.when(text.isNull(), F.xxhash64(F.col(id_col))).otherwise(F.xxhash64(r["chunks"]))
-    key = [spread, text.isNull(), r["bytes"], r["chunks"]] + ([] if verified else [r["digests"]])
-    rows = docs.withColumn(rec, _recipe_udf(id_bits)(text))
+    key = [F.xxhash64(r["chunks"]), r["bytes"], r["chunks"]] + ([] if verified else [r["digests"]])
+    rows = docs.where(text.isNotNull()).withColumn(rec, _recipe_udf(id_bits)(text))
     if verified:
         rows = rows.withColumn(rec, F.struct(r["bytes"].alias("bytes"), r["chunks"].alias("chunks")))
     order = W.partitionBy(*key).orderBy(F.col(id_col).asc_nulls_last())
-    return rows.withColumn(rank, F.row_number().over(order)).where((F.col(rank) == 1) | text.isNull()).drop(rec, rank)
+    # keeping only the first lets Spark drop copies within each task before the shuffle, so a hot text doesn't pile up
+    first = rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rec, rank)
+    return first.unionByName(docs.where(text.isNull()))
