@@ -58,6 +58,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+class Scratch:
+    """Stored tables that a computation needs only until its result is stored."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(stored(df, label))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for t in self.tables:
+            remove_stored(t)
+        self.tables = []
+
+
 def remove_stored(df: DataFrame) -> None:
     path = getattr(df, "_quadrat_path", None)
     if path:

@@ -165,12 +165,12 @@ def _extract(pages: pa.Array, drops: pa.Array) -> pa.Array:
     return pa.array([None if x is None else {"text": x[0], "removed": x[1]} for x in out], pa.struct([("text", pa.string()), ("removed", pa.int64())]))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame, scratch: common.Scratch, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """(host, drop): the hashes of each host's template subtrees. pages: host, html."""
     each = pages.where("host is not null and html is not null").select("host", _subtrees("html").alias("h"))
     each = each.select(F.xxhash64("host").alias("host"), F.explode(F.concat("h", F.array(F.lit(-1).cast("long")))).alias("hash"))
     n = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    n = common.stored(n, "subtrees")
+    n = scratch.stored(n, "subtrees")
     hosts = n.where("hash = -1").select("host", F.col("n").alias("pages"))
     many = n.where("hash <> -1").join(hosts, "host").where(F.col("n") >= F.col("pages") * share)
     return many.groupBy("host").agg(F.collect_list("hash").alias("drop"))
@@ -180,7 +180,9 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     """(page_id, text, removed) of each page."""
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     base = pages.select(F.col(id_col).alias("page_id"), F.nullif(host, F.lit("")).alias("host"), F.col(html_col).alias("html"))
-    t = common.stored(templates(base, min_pages, share), "templates")
+    scratch = common.Scratch()
+    t = common.stored(templates(base, scratch, min_pages, share), "templates")
+    scratch.clear()
     rows, hashes = t.agg(F.count("*"), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
     rows = base.withColumn("k", F.xxhash64("host")).join(common.small(t.toDF("k", "all"), 1, 64 * rows + 8 * hashes), "k", "left")
     drop = F.when(F.col("host").isNotNull() & F.col("all").isNotNull(), F.array_intersect(_subtrees("html"), F.col("all")))

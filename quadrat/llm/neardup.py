@@ -282,23 +282,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, root) of all documents in groups of two or more."""
+    scratch = common.Scratch()
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    sk = common.stored(_sketches(base).dropDuplicates(["id"]), "sketches")
+    sk = scratch.stored(_sketches(base).dropDuplicates(["id"]), "sketches")
     alike = sk.groupBy("d0", "d1", "n").agg(F.min("id").alias("root"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = common.stored(sk.select("id", "d0", "d1", "n").join(alike, ["d0", "d1", "n"]).where("id <> root").select("id", "root"), "copies")
+    copies = scratch.stored(sk.select("id", "d0", "d1", "n").join(alike, ["d0", "d1", "n"]).where("id <> root").select("id", "root"), "copies")
     reps = sk.join(copies.select("id"), "id", "left_anti")
-    pairs = common.stored(_candidates(reps, threshold), "pairs")
+    pairs = scratch.stored(_candidates(reps, threshold), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     n = wanted.count()
     # a shared id's rows are one document: the largest text stands for it
     texts = base.join(common.small(wanted, n, 48), F.col("id") == F.col("w")).groupBy("id").agg(F.max("t").alias("t"))
-    texts = common.stored(texts, "texts")
-    edges = verified_edges(pairs, texts, threshold)
-    roots = common.stored(edges.unionByName(copies.toDF("b", "a")), "links")
-    return components(roots)
+    texts = scratch.stored(texts, "texts")
+    edges = verified_edges(pairs, texts, threshold, scratch)
+    roots = scratch.stored(edges.unionByName(copies.toDF("b", "a")), "links")
+    out = components(roots)  # is stored, so nothing reads the tables before it any more
+    scratch.clear()
+    return out
 
 
-def verified_edges(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified_edges(pairs: DataFrame, texts: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
     """Verified pairs that connect all that any verified pair would connect."""
     edges = None
     open_pairs = pairs.select("a", "b", "est", F.col("a").alias("ca"), F.col("b").alias("cb"))
@@ -306,10 +309,10 @@ def verified_edges(pairs: DataFrame, texts: DataFrame, threshold: float) -> Data
         if r < ROUNDS:
             mine = "cb" if r == 0 else "struct(ca, cb)"
             best = open_pairs.groupBy(F.expr(mine).alias("g")).agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b")
-            picks = common.stored(best, "picks")
+            picks = scratch.stored(best, "picks")
         else:
             picks = open_pairs.select("a", "b")
-        good = common.stored(_verified(picks, texts, threshold), "good")
+        good = scratch.stored(_verified(picks, texts, threshold), "good")
         edges = good if edges is None else edges.unionByName(good)
         if r == ROUNDS:
             return edges
@@ -318,7 +321,7 @@ def verified_edges(pairs: DataFrame, texts: DataFrame, threshold: float) -> Data
         for end in ("a", "b"):
             left = left.join(roots.toDF(end, f"r{end}"), end, "left").withColumn(f"c{end}", F.coalesce(f"r{end}", end)).drop(f"r{end}")
         left = left.where("ca <> cb").select("a", "b", "est", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-        open_pairs = common.stored(left, "open")
+        open_pairs = scratch.stored(left, "open")
         if open_pairs.isEmpty():
             return edges
     return edges
