@@ -88,16 +88,18 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 400, least_docs: int =
     for a, b, buf, off in tokens.blocks(texts):
         d, f = _features(buf, off, None)
         is_toxic = y[a:b][d] > 0
-        p += np.bincount(f[is_toxic], minlength=size)
-        q += np.bincount(f[~is_toxic], minlength=size)
+        np.add.at(p, f[is_toxic], np.float32(1))
+        np.add.at(q, f[~is_toxic], np.float32(1))
+    often = np.flatnonzero(p + q >= least_docs)
+    p, q = p[often].astype(float), q[often].astype(float)
     ratio = np.log((p + 0.5) / pos) - np.log((q + 0.5) / neg)
     mean = (p + q) / len(y)
     spread = np.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg))
-    z = np.divide(np.abs(p / pos - q / neg), spread, out=np.zeros(size), where=spread > 0)
-    z[p + q < least_docs] = 0
-    chosen = np.flatnonzero(z > least_z)
-    if len(chosen) > MAX_FEATURES:
-        chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MAX_FEATURES]])
+    z = np.divide(np.abs(p / pos - q / neg), spread, out=np.zeros(len(p)), where=spread > 0)
+    best = np.flatnonzero(z > least_z)
+    if len(best) > MAX_FEATURES:
+        best = np.sort(best[np.argsort(-z[best], kind="stable")[:MAX_FEATURES]])
+    chosen, ratio = often[best], ratio[best]
     if not len(chosen):
         return none
     kept = _mask(chosen)
@@ -109,7 +111,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 400, least_docs: int =
         docs.append(d[same] + a)
         feats.append(at[same])
     d, f = np.concatenate(docs), np.concatenate(feats)
-    x = ratio[chosen][f].astype(float)
+    x = ratio[f]
     n, k = len(y), len(chosen)
     w, b = np.zeros(k), float(np.log(pos / neg))
     seen_w, seen_b = np.full(k, 1e-8), 1e-8
@@ -121,7 +123,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 400, least_docs: int =
         seen_b += gb * gb
         w -= 0.1 * gw / np.sqrt(seen_w)
         b -= 0.1 * gb / np.sqrt(seen_b)
-    return chosen, w * ratio[chosen], b
+    return chosen, w * ratio, b
 
 
 def _mask(features: np.ndarray) -> np.ndarray:
