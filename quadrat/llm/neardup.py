@@ -17,14 +17,17 @@ that are larger, smaller and equal, by maximising
     p(x) = -log_b(1 - x (b - 1) / b),
 
 with u, v the documents' shares of the shingle counts. Whatever isn't near the
-smallest document is compared with all others of the bucket, so no partner is
-left out and a bucket of copies costs time in proportion to its size. Pairs
-estimated at `threshold` minus MARGIN or more are candidates.
+smallest document is compared with all others of the bucket. Pairs estimated at
+`threshold` minus MARGIN or more are candidates.
 
 Verification. Exact Jaccard similarity of the shingle sets, at least
 `threshold`. Only pairs that can still join two groups are verified, best
-estimate first; when none is left, groups are the connected components of the
-verified pairs over all candidates.
+estimate first. Once the first ones are, every bucket whose documents aren't yet
+one group is searched again, and all pairs of documents of different groups are
+compared: being near the smallest document by the estimate alone spares no pair
+its comparison, and a bucket of copies costs time in proportion to its size.
+When no pair is left, groups are the connected components of the verified pairs
+over all candidates.
 
 Documents with equal shingle multisets are collapsed before the search. All
 documents take part; nothing is capped.
@@ -54,6 +57,8 @@ MARGIN = 0.18
 THRESHOLD = 0.5
 #: Rounds in which each group verifies one pair at a time; then all open pairs are verified.
 ROUNDS = 3
+#: The round after which, at the latest, buckets of several groups are searched again.
+AGAIN = 1
 
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -171,6 +176,24 @@ def bucket_pairs(ids: np.ndarray, sizes: np.ndarray, regs: np.ndarray, starts: n
     return ids[a], ids[b], e
 
 
+def crossing_pairs(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, regs: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All candidate pairs of different groups in buckets starts[k]:starts[k + 1], each sorted by id."""
+    least, n = threshold - MARGIN, len(ids)
+    later = np.repeat(starts[1:], np.diff(starts)) - np.arange(n) - 1
+    ends = np.cumsum(later)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - later[lo] + (1 << 16), "right")))
+        left = np.repeat(np.arange(lo, hi), later[lo:hi])
+        right = left + 1 + np.arange(len(left)) - np.repeat(ends[lo:hi] - later[lo:hi] - (ends[lo] - later[lo]), later[lo:hi])
+        apart = groups[left] != groups[right]
+        left, right, lo = left[apart], right[apart], hi
+        if len(left):
+            e = _estimates(regs[left], regs[right], sizes[left], sizes[right], least)
+            hit = e >= least
+            yield ids[left[hit]], ids[right[hit]], e[hit]
+
+
 def _sketches(base: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,11 +228,15 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "regs").mapInArrow(run, "key long, id long")
 
 
-def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, est) with a < b."""
+def _members(reps: DataFrame) -> DataFrame:
+    """(bucket, id) of all buckets of two or more, those of the same documents once."""
     buckets = _keys(reps).groupBy("key").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
     buckets = buckets.select(F.sort_array("ids").alias("ids")).distinct()
-    members = buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id"))
+    return buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id"))
+
+
+def _candidates(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, est) with a < b."""
     rows = members.join(reps.select("id", "n", "regs"), "id")
     rows = rows.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "n", "regs"))).alias("m"))
 
@@ -225,6 +252,33 @@ def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
     return pairs.where("a < b").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
+def _passed_over(members: DataFrame, reps: DataFrame, pairs: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, est, ca, cb) of the candidates in buckets of several groups that aren't among pairs; roots: id, root."""
+    grouped = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    several = grouped.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+    rows = grouped.join(several, "bucket", "left_semi").join(reps.select("id", "n", "regs"), "id")
+    rows = rows.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "root", "n", "regs"))).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(0)
+            starts = np.concatenate([[0], np.cumsum(m.value_lengths().to_numpy())])
+            flat = m.flatten()
+            ids, root, n = (flat.field(k).to_numpy() for k in range(3))
+            for a, b, e in crossing_pairs(ids, root, n, _matrix(flat.field(3)), starts, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], ["a", "b", "est"])
+
+    found = rows.select("m").mapInArrow(run, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+    return _between(found.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), roots)
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, est) of different groups, and the groups ca < cb."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.toDF(end, f"r{end}"), end, "left").withColumn(f"c{end}", F.coalesce(f"r{end}", end)).drop(f"r{end}")
+    return pairs.where("ca <> cb").select("a", "b", "est", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity is at least the threshold. texts: id, t."""
     both = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
@@ -288,22 +342,27 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
     alike = sk.groupBy("d0", "d1", "n").agg(F.min("id").alias("root"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = scratch.stored(sk.select("id", "d0", "d1", "n").join(alike, ["d0", "d1", "n"]).where("id <> root").select("id", "root"), "copies")
     reps = sk.join(copies.select("id"), "id", "left_anti")
-    pairs = scratch.stored(_candidates(reps, threshold), "pairs")
+    members = scratch.stored(_members(reps), "buckets")
+    pairs = scratch.stored(_candidates(members, reps, threshold), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     n = wanted.count()
     # a shared id's rows are one document: the largest text stands for it
     texts = base.join(common.small(wanted, n, 48), F.col("id") == F.col("w")).groupBy("id").agg(F.max("t").alias("t"))
     texts = scratch.stored(texts, "texts")
-    edges = verified_edges(pairs, texts, threshold, scratch)
+    edges = verified_edges(pairs, members, reps, texts, threshold, scratch)
     roots = scratch.stored(edges.unionByName(copies.toDF("b", "a")), "links")
     out = components(roots)  # is stored, so nothing reads the tables before it any more
     scratch.clear()
     return out
 
 
-def verified_edges(pairs: DataFrame, texts: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
-    """Verified pairs that connect all that any verified pair would connect."""
-    edges = None
+def verified_edges(pairs: DataFrame, members: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
+    """Verified pairs that connect all that any verified pair would connect.
+
+    pairs holds no pair of two rows near the smallest of their bucket; those of
+    different groups join it when AGAIN rounds are over or no pair is left.
+    """
+    edges, again = None, True
     open_pairs = pairs.select("a", "b", "est", F.col("a").alias("ca"), F.col("b").alias("cb"))
     for r in range(ROUNDS + 1):
         if r < ROUNDS:
@@ -317,12 +376,13 @@ def verified_edges(pairs: DataFrame, texts: DataFrame, threshold: float, scratch
         if r == ROUNDS:
             return edges
         roots = components(edges)
-        left = open_pairs.select("a", "b", "est").join(picks, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            left = left.join(roots.toDF(end, f"r{end}"), end, "left").withColumn(f"c{end}", F.coalesce(f"r{end}", end)).drop(f"r{end}")
-        left = left.where("ca <> cb").select("a", "b", "est", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+        left = _between(open_pairs.select("a", "b", "est").join(picks, ["a", "b"], "left_anti"), roots)
         open_pairs = scratch.stored(left, "open")
-        if open_pairs.isEmpty():
+        none = open_pairs.isEmpty()
+        if again and (none or r >= AGAIN):
+            more = scratch.stored(_passed_over(members, reps, pairs, roots, threshold), "open")
+            open_pairs, again, none = open_pairs.unionByName(more), False, none and more.isEmpty()
+        if none and not again:
             return edges
     return edges
 

@@ -102,6 +102,56 @@ def test_near_groups_against_brute_force(spark, rng):
     assert kept == set(range(len(texts))) - {x for x, _ in got}
 
 
+def _bucketed_groups(texts, threshold):
+    """Groups by brute force over all pairs that share a bucket and are estimated within the margin."""
+    regs, size, _ = neardup.sketch(pa.array(texts))
+    bands = regs[:, : neardup.BAND * neardup.BANDS].reshape(len(texts), neardup.BANDS, neardup.BAND)
+    sets, root = _sets(texts), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bands[i] == bands[j]).all(1).any() and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold:
+                if neardup._estimates(regs[j : j + 1], regs[i : i + 1], size[j : j + 1], size[i : i + 1], 0.0)[0] >= threshold - neardup.MARGIN:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    return {(i, find(i)) for i in range(len(texts)) if find(i) != i}
+
+
+def test_partners_that_only_seem_near_the_smallest_are_found(spark, rng):
+    """A shared passage: each row is at 0.42 to 0.49 to the smallest one and above 0.5 to its partner only."""
+    shared, texts = prose(rng, 120), []
+    for _ in range(60):
+        both = prose(rng, 20)
+        texts += [f"{shared} {both} {prose(rng, int(n))}" for n in rng.integers(36, 52, 2)]
+    texts.insert(0, f"{shared} {prose(rng, 70)}")
+    sets = _sets(texts)
+    to_first = [len(s & sets[0]) / len(s | sets[0]) for s in sets[1:]]
+    assert 0.4 <= min(to_first) and max(to_first) < 0.5
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).repartition(3)
+    want = _bucketed_groups(texts, 0.5)
+    assert len(want) >= 40 and set(_pairs(neardup.duplicates(df))) == want
+
+
+def test_crossing_pairs_are_all_of_different_groups(rng):
+    base = prose(rng, 200)
+    texts = [_edited(rng, base, s) for s in rng.uniform(0.02, 0.15, 400)]
+    regs, size, _ = neardup.sketch(pa.array(texts))
+    starts, group = np.array([0, 1, 390, 400]), rng.integers(0, 5, 400)
+    got = [(int(a), int(b)) for p in neardup.crossing_pairs(np.arange(400), group, size, regs, starts, 0.5) for a, b in zip(p[0], p[1])]
+    want = []
+    for lo, hi in zip(starts[:-1], starts[1:]):
+        i, j = np.triu_indices(hi - lo, 1)
+        i, j = (i + lo)[group[i + lo] != group[j + lo]], (j + lo)[group[i + lo] != group[j + lo]]
+        e = neardup._estimates(regs[i], regs[j], size[i], size[j], 0.5 - neardup.MARGIN)
+        want += [(int(a), int(b)) for a, b in zip(i[e >= 0.5 - neardup.MARGIN], j[e >= 0.5 - neardup.MARGIN])]
+    assert len(got) == len(set(got)) > 1 << 15 and sorted(got) == sorted(want)
+
+
 def test_near_with_odd_rows(odd, none, spark):
     assert neardup.duplicates(odd).count() == 0
     kept = neardup.deduplicate(odd)
