@@ -15,7 +15,9 @@ within the radius are verified by exact weighted Jaccard similarity of shingle
 multisets.
 
 The index of a benchmark is broadcast in parts of at most `pass_bytes`, one scan
-of the documents for each; the documents are never shuffled.
+of the documents for each; the documents are never shuffled. Each part has the
+vocabulary and the document frequencies of all N items besides, 17 bytes a
+shingle, so that results don't depend on the number of parts.
 
 Defined results: null and empty texts, of documents or items, match nothing; a
 document shorter than an item is one window; items with the same text all
@@ -81,9 +83,13 @@ def weighted_jaccard(code: np.ndarray, weight: np.ndarray, other: tuple[np.ndarr
 
 
 class Index:
-    """Vocabulary, fingerprints and multi-index of some benchmark items."""
+    """Vocabulary, fingerprints and multi-index of some benchmark items.
 
-    def __init__(self, item_ids: list, texts: list[str], threshold: float) -> None:
+    whole: the sorted shingles, document frequencies and number of the items of
+    the benchmark that these are a part of.
+    """
+
+    def __init__(self, item_ids: list, texts: list[str], threshold: float, whole: tuple[np.ndarray, np.ndarray, int] | None = None) -> None:
         self.threshold = threshold
         codes, ids = [], []
         for a, _, buf, off in tokens.blocks(pa.array(texts, pa.large_string())):
@@ -94,9 +100,11 @@ class Index:
                     ids.append(item_ids[a + k])
         self.ids, n = ids, len(ids)
         sets = [np.unique(c, return_counts=True) for c in codes]
-        self.vocabulary, df = np.unique(np.concatenate([s for s, _ in sets]) if n else np.empty(0, np.uint64), return_counts=True)
-        self.weight = 1 + np.log((n + 1) / (df + 1))
-        self.most = 1 + np.log(n + 1)
+        if whole is None:
+            whole = (*np.unique(np.concatenate([s for s, _ in sets]) if n else np.empty(0, np.uint64), return_counts=True), n)
+        self.vocabulary, df, every = whole
+        self.weight = 1 + np.log((every + 1) / (df + 1))
+        self.most = 1 + np.log(every + 1)
         self.items = [(s, c, self.weight[np.searchsorted(self.vocabulary, s)]) for s, c in sets]
         self.size = np.array([len(c) for c in codes], np.int64)
         total = np.array([float((c * w).sum()) for _, c, w in self.items])
@@ -212,15 +220,38 @@ class Index:
         return out
 
 
+def _whole(items: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted shingles of all items (t), the number of items that have each, and of items that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, off in tokens.blocks(batch.column(0)):
+                code, first = tokens.shingles(tokens.words(buf, off), WIDTH)
+                sets = [np.unique(code[a:b]) for a, b in zip(first[:-1], first[1:]) if b > a]
+                if sets:
+                    got, df = np.unique(np.concatenate(sets), return_counts=True)
+                    # the row without a shingle counts the items
+                    codes = pa.array([*got.view(np.int64).tolist(), None], pa.int64())
+                    yield pa.RecordBatch.from_arrays([codes, pa.array(np.append(df, len(sets)))], ["code", "df"])
+
+    sums = items.select("t").mapInArrow(run, "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).toArrow()
+    code, df = sums.column("code").combine_chunks(), sums.column("df").to_numpy()
+    null = code.is_null().to_numpy(zero_copy_only=False)
+    vocabulary = code.drop_null().to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    return vocabulary[order], df[~null][order], int(df[null].sum())
+
+
 def _indexes(benchmark: DataFrame, threshold: float, pass_bytes: int, id_col: str, text_col: str) -> Iterator[Index]:
     """One index for each pass; the passes' items differ and cover the benchmark."""
     items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     passes = max(1, -(-(n * ITEM_BYTES + 40 * size) // pass_bytes))
+    whole = _whole(items) if passes > 1 else None
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == k)
         rows = sorted(part.collect(), key=lambda r: (r.i is None, r.i if r.i is not None else 0, r.t))
-        yield Index([r.i for r in rows], [r.t for r in rows], threshold)
+        yield Index([r.i for r in rows], [r.t for r in rows], threshold, whole)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = common.BROADCAST_BYTES) -> DataFrame:

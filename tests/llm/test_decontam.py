@@ -70,6 +70,16 @@ def test_passes_over_parts_of_the_benchmark_agree(spark, rng):
     assert {r.doc_id for r in decontam.decontaminate(df, b, pass_bytes=40_000).collect()} <= {d for d, _ in docs}
 
 
+def test_one_and_many_passes_give_the_same(spark, rng):
+    docs, items = _case(rng, 0.15)
+    items += [(100 + k, items[k][1].split(" ", 6)[-1]) for k in range(8)] + [(200, ""), (201, None)]
+    df, b = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs], DOCS), spark.createDataFrame(items, ITEMS).repartition(3)
+    rows = [sorted(map(tuple, decontam.leaks(df, b, pass_bytes=size).collect())) for size in (1 << 30, 40_000)]
+    assert len(list(decontam._indexes(b, 0.5, 40_000, "item_id", "text"))) > 3
+    assert len(rows[0]) >= 10 and [r[:2] + r[3:] for r in rows[0]] == [r[:2] + r[3:] for r in rows[1]]
+    assert [r[2] for r in rows[0]] == pytest.approx([r[2] for r in rows[1]], abs=1e-12)
+
+
 def test_index_finds_every_print_within_the_radius(rng):
     items = [(k, prose(rng, 20)) for k in range(60)]
     index = decontam.Index([i for i, _ in items], [t for _, t in items], 0.5)
