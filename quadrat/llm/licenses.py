@@ -16,6 +16,13 @@ weight of the word 2-grams of one of that family's notices. So a paragraph
 that has too few of any notice's 2-grams can't be reported; such paragraphs are
 recognised by their counts alone, exactly, and are not classified.
 
+Notices that are wrapped over several lines are searched in runs of lines with
+words; comment marks aren't words. Stretches of neighbouring lines in which the
+words that hold `contained` of a notice are at most SPREAD times as many as the
+notice's are extended by the lines next to them that add to it, and classified
+and confirmed as a line is. Their first line's number is reported, unless the
+same family is reported for one of their lines already.
+
 Defined results: null and empty texts have no findings; a line without words is
 no paragraph but keeps its number; equal notices are decided by the order of
 TEMPLATES; repeated rows give repeated findings; a null id is reported as null.
@@ -36,6 +43,8 @@ from . import tokens
 SAMPLE_DOCS = 300
 CONFIDENT, CONTAINED = 0.5, 0.6
 UNKNOWN = "unknown"
+#: A wrapped notice's words may be spread over so many times the words it has.
+SPREAD = 2
 
 #: Usual notices of each family, from the licences' own instructions and first paragraphs.
 TEMPLATES: dict[str, list[str]] = {
@@ -170,6 +179,10 @@ class Model:
         grams = np.unique(np.concatenate([t[2] for t in self.templates]))
         self.grams = grams
         self.least = min(float(t[3].sum()) for t in self.templates) * self.contained
+        self.by_gram = np.zeros((len(self.templates), len(grams)))
+        for k, t in enumerate(self.templates):
+            self.by_gram[k, np.searchsorted(grams, t[2])] = t[3]
+        self.needed = self.by_gram.sum(1) * self.contained
         self.gain = np.array([max(float(t[3][t[2] == g].max(initial=0)) for t in self.templates) for g in grams])
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,30 +206,102 @@ class Model:
             one, two, three = ngrams(w, w.first)
             line = np.repeat(np.arange(len(doc)), np.diff(w.first))
             # the weight of a line's 2-grams that any notice has bounds what any notice finds in it
-            at, v = self.hits(two)
-            known = np.minimum(np.searchsorted(self.grams, two[at]), len(self.grams) - 1)
-            in_template = self.grams[known] == two[at]
-            reach = np.bincount(line[at[in_template]], self.gain[known[in_template]], len(doc))
+            place, known = self._template_hits(two)
+            reach = np.bincount(line[place], self.gain[known], len(doc))
             chosen = np.flatnonzero(reach >= self.least - 1e-9)
-            if not len(chosen):
+            here = self._classified(w.first[chosen], w.first[chosen + 1], (one, two, three))
+            told = {(int(chosen[k]), f) for k, f, *_ in here}
+            got = [(int(chosen[k]), *rest) for k, *rest in here]
+            some = np.flatnonzero(np.diff(w.first))
+            opens = np.append(True, (np.diff(some) > 1) | (np.diff(doc[some]) != 0))
+            joined = ngrams(w, np.append(w.first[some[opens]], len(w.code)))
+            spans = self._wrapped(joined[1], line, w.first, np.cumsum(opens)[np.searchsorted(some, line)] - 1)
+            lo, hi = np.array([x[0] for x in spans], np.int64), np.array([x[1] for x in spans], np.int64)
+            # the best of the stretches of a family that overlap
+            for k, family, *rest in sorted(self._classified(w.first[lo], w.first[hi + 1], joined), key=lambda x: (-x[4], x[0])):
+                lines = range(int(lo[k]), int(hi[k]) + 1)
+                if not any((x, family) in told for x in lines):
+                    told |= {(x, family) for x in lines}
+                    got.append((lines[0], family, *rest))
+            out += [(a + int(doc[p]), int(number[p]), *rest) for p, *rest in sorted(got)]
+        return out
+
+    def _template_hits(self, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the 2-grams that any notice has, and their numbers in self.grams."""
+        at, _ = self.hits(two)
+        known = np.minimum(np.searchsorted(self.grams, two[at]), len(self.grams) - 1)
+        same = self.grams[known] == two[at]
+        return at[same], known[same]
+
+    def _classified(self, starts: np.ndarray, ends: np.ndarray, grams: tuple) -> list[tuple[int, str, float, str, float]]:
+        """(number, family, probability, template, similarity) of the stretches of words that are notices."""
+        if not len(starts):
+            return []
+        row, feature, out, have = [], [], [], []
+        for k, (lo, hi) in enumerate(zip(starts, ends)):
+            # n-grams that reach beyond the stretch aren't its own
+            own = [x[lo : max(lo, hi - n)] for n, x in enumerate(grams)]
+            g = np.unique(np.concatenate(own))
+            have.append(np.unique(own[1]))
+            _, v = self.hits(g)
+            row.append(np.full(len(v), k))
+            feature.append(v)
+        prob = self.probabilities(np.concatenate(row), np.concatenate(feature), len(starts))
+        for k in range(len(starts)):
+            best = int(prob[k].argmax())
+            family = self.families[best]
+            if family == UNKNOWN or prob[k, best] < self.confident:
+                continue
+            name, sim = self.confirm(family, have[k])
+            if sim >= self.contained:
+                out.append((k, family, float(prob[k, best]), name, sim))
+        return out
+
+    def _wrapped(self, two: np.ndarray, line: np.ndarray, first: np.ndarray, run: np.ndarray) -> list[tuple[int, int]]:
+        """First and last lines of the stretches of two or more lines that hold enough of a notice."""
+        place, known = self._template_hits(two)
+        spans = set()
+        edge = np.append(np.flatnonzero(np.diff(run[place], prepend=-1)), len(place))
+        reach = np.concatenate([[0], np.cumsum(self.gain[known])])
+        for a, b in zip(edge[:-1], edge[1:]):
+            if reach[b] - reach[a] < self.least - 1e-9 or line[place[a]] == line[min(place[b - 1] + 1, len(line) - 1)]:
+                continue
+            weights = self.by_gram[:, np.unique(known[a:b])].sum(1)
+            for t in np.flatnonzero(weights >= self.needed - 1e-9):
+                mine = self.by_gram[t, known[a:b]] > 0
+                spans |= self._stretches(t, place[a:b][mine].tolist(), known[a:b][mine].tolist(), line)
+        return sorted(spans)
+
+    def _stretches(self, t: int, place: list[int], gram: list[int], line: np.ndarray) -> set[tuple[int, int]]:
+        weight, need, most = self.by_gram[t], self.needed[t] - 1e-9, SPREAD * (len(self.templates[t][2]) + 1)
+        count: dict[int, int] = {}
+        total, left, out = 0.0, 0, set()
+
+        def drop() -> None:
+            nonlocal total, left
+            g = gram[left]
+            count[g] -= 1
+            total -= weight[g] if not count[g] else 0.0
+            left += 1
+
+        for right, g in enumerate(gram):
+            total += 0.0 if count.get(g) else weight[g]
+            count[g] = count.get(g, 0) + 1
+            while place[right] + 2 - place[left] > most or (left < right and count[gram[left]] > 1):
+                drop()
+            while left < right and total - weight[gram[left]] * (count[gram[left]] == 1) >= need:
+                drop()
+            if total < need or line[place[left]] == line[place[right] + 1]:
                 continue
-            row, feature = [], []
-            for k, p in enumerate(chosen):
-                lo, hi = w.first[p], w.first[p + 1]
-                g = np.unique(np.concatenate([one[lo:hi], two[lo:hi], three[lo:hi]]))
-                _, v = self.hits(g)
-                row.append(np.full(len(v), k))
-                feature.append(v)
-            prob = self.probabilities(np.concatenate(row), np.concatenate(feature), len(chosen))
-            for k, p in enumerate(chosen):
-                best = int(prob[k].argmax())
-                family = self.families[best]
-                if family == UNKNOWN or prob[k, best] < self.confident:
-                    continue
-                have = np.unique(two[w.first[p] : w.first[p + 1]])
-                name, sim = self.confirm(family, have)
-                if sim >= self.contained:
-                    out.append((a + int(doc[p]), int(number[p]), family, float(prob[k, best]), name, sim))
+            lo, hi, have = left, right, set(gram[left : right + 1])
+            # neighbouring lines that add to the notice belong to it
+            while lo and line[place[lo]] - line[place[lo - 1] + 1] <= 1 and (gram[lo - 1] not in have):
+                lo -= 1
+                have.add(gram[lo])
+            while hi + 1 < len(gram) and line[place[hi + 1]] - line[place[hi] + 1] <= 1 and gram[hi + 1] not in have:
+                hi += 1
+                have.add(gram[hi])
+            out.add((int(line[place[lo]]), int(line[place[hi] + 1])))
         return out
 
     def confirm(self, family: str, have: np.ndarray) -> tuple[str, float]:

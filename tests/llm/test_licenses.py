@@ -1,3 +1,5 @@
+import textwrap
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -55,6 +57,19 @@ def test_bound_leaves_out_only_what_cannot_be_reported(model, rng):
     assert got == every and got
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("width", [50, 72])
+def test_wrapped_notices(model, rng, mark, width):
+    for family in ("GPL-3.0", "GPL-2.0", "BSD", "ISC", "MPL-2.0", "LGPL", "MIT"):
+        notice = max(licenses.TEMPLATES[family], key=len)
+        body = textwrap.wrap(notice, width)
+        text = "\n".join([prose(rng, 30), "", *(mark + x for x in body), mark.rstrip(), prose(rng, 30)])
+        got = model.findings(pa.array([prose(rng, 20), text]))
+        assert {x[2] for x in got} == {family} and all(x[0] == 1 and 2 <= x[1] < 2 + len(body) for x in got), (family, got)
+        if family in ("GPL-3.0", "ISC", "MPL-2.0"):
+            assert [x[1] for x in got] == [2], got
+
+
 def test_scan(spark, rng, odd, none):
     rows = [(k, prose(rng, 40) + ("\nLicensed under the Apache License, Version 2.0." if k % 5 == 0 else ""), "en", "s", 0) for k in range(60)]
     out = licenses.scan(spark.createDataFrame(rows, DOCS)).collect()
