@@ -2,27 +2,34 @@
 
 Lengths are token counts plus one end-of-text token. A document longer than the
 capacity is cut into full pieces, each a bin of its own, and a rest. Documents
-are spread by the hash of their id over groups of about `group_docs`; each group
-is packed by itself, so a bin is wasted at most once a group and any number of
-groups pack at a time. Only ids and lengths are shuffled.
+are spread by the hash of their id, or of their text where they have none, over
+groups of about `group_docs`; each group is packed by itself, so a bin is wasted at
+most once a group and any number of groups pack at a time. A group of more than
+twice `group_docs`, of rows that share an id, is packed in parts of `group_docs`.
+Only ids and lengths are shuffled.
 
 In a group, best-fit decreasing gives the incumbent. While it has more bins than
 the lower bound, bin completion looks for better: a bin around the largest piece
 left is completed by undominated fillings, least waste first; a branch ends when
 its waste exceeds what a packing with one bin less than the incumbent could
 waste. A filling is dominated if a piece outside it could replace pieces inside
-it of no greater sum. The search of a group ends, with the incumbent as the
-result, at the lower bound or after `steps` steps.
+it of no greater sum. Fillings come one at a time from the sums that the pieces
+left can reach, so every step leads to one and none is left out. The search of a
+group ends at the lower bound, when it is exhausted, which proves the incumbent
+optimal, or after `steps` steps, with the best packing so far as the result.
 
 Defined results: a null text has no length and is in no bin; an empty text has
-length 1; rows that share an id are all packed; ties are packed in the order of
-length, id and start, so the result doesn't depend on the partitioning.
+length 1; a very long text is cut; rows that share an id, repeated rows and rows
+without an id are all packed; ties are packed in the order of length, id and
+start, so the result doesn't depend on the partitioning; an empty table has no
+bins; extra columns, whatever their names, aren't carried along.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,64 +81,60 @@ class _Completion:
             insort(self.sizes, x)
         self.count[x] += 1
 
-    def fillings(self, room: int, slack: int, most: int = 6) -> list[list[int]]:
-        """Undominated fillings that waste at most `slack`, least waste first."""
-        sizes, out = self.sizes, []
-        used: dict[int, int] = {}
-
-        def grow(limit: int, left: int, chosen: list[int]) -> bool:
+    def fillings(self, room: int, slack: int) -> Iterator[list[int]]:
+        """Undominated fillings that waste at most `slack`, least waste first, each of descending pieces."""
+        sizes, count = [x for x in self.sizes if x <= room], dict(self.count)
+        self.steps -= len(sizes) // 32  # the sums take time too
+        # bit s of reach[k]: the pieces of the k smallest sizes have a subset of sum s
+        mask, reach = (2 << room) - 1, [1]
+        for x in sizes:
+            r, left, n = reach[-1], min(count[x], room // x), 1
+            while left:  # 1, 2, 4, ... pieces at a time
+                n = min(n, left)
+                r |= r << (x * n) & mask
+                left -= n
+                n *= 2
+            reach.append(r)
+        for waste in range(min(slack, room) + 1):
+            if reach[-1] >> (room - waste) & 1:
+                for f in self._exactly(sizes, count, reach, room - waste):
+                    if not self._dominated(f, waste, sizes, count):
+                        yield f
+
+    def _exactly(self, sizes: list[int], count: dict[int, int], reach: list[int], total: int) -> Iterator[list[int]]:
+        """All multisets of that sum, those with the largest pieces first; every node on the way leads to one."""
+        stack: list[tuple[int, int, list[int]]] = [(len(sizes), total, [])]
+        while stack and self.steps > 0:
+            k, left, chosen = stack.pop()
             self.steps -= 1
-            if self.steps <= 0 or len(out) >= most * 4:
-                return False
-            k = bisect_right(sizes, min(limit, left)) - 1
-            if k < 0 or left == 0:
-                if left <= slack:
-                    out.append((left, list(chosen)))
-                return left != 0 or not chosen  # a full bin dominates whatever else begins like it
-            go = True
-            while k >= 0 and go:
-                x = sizes[k]
-                if used.get(x, 0) < self.count[x]:
-                    used[x] = used.get(x, 0) + 1
-                    chosen.append(x)
-                    go = grow(x, left - x, chosen)
-                    chosen.pop()
-                    used[x] -= 1
-                    # leaving x out for something smaller is only worth trying if the smaller ones can still fill up
-                    if left - x == 0:
-                        break
+            if not left:
+                yield chosen
+                continue
+            while k and not (left >= sizes[k - 1] and reach[k - 1] >> (left - sizes[k - 1]) & 1 or reach[k] != reach[k - 1] and count[sizes[k - 1]] > 1):
                 k -= 1
-                if k >= 0 and not chosen and left - sizes[k] > slack and self._fill(sizes[k], left) > slack:
-                    break
-            return go
-
-        grow(self.capacity, room, [])
-        out.sort(key=lambda f: (f[0], [-x for x in f[1]]))
-        return [f for _, f in out if not self._dominated(f, room)][:most]
-
-    def _fill(self, x: int, left: int) -> int:
-        """A lower bound of the waste if only pieces up to x are used."""
-        total = 0
-        for y in reversed(self.sizes[: bisect_right(self.sizes, x)]):
-            total += y * self.count[y]
-            if total >= left:
-                return 0
-        return left - total
-
-    def _dominated(self, filling: list[int], room: int) -> bool:
-        spare = room - sum(filling)
-        if not spare:
-            return False
-        inside: dict[int, int] = {}
+            if not k:
+                continue
+            x = sizes[k - 1]
+            for n in range(min(count[x], left // x) + 1):  # the stack returns the largest n first
+                if reach[k - 1] >> (left - n * x) & 1:
+                    stack.append((k - 1, left - n * x, chosen + [x] * n))
+
+    def _dominated(self, filling: list[int], spare: int, sizes: list[int], count: dict[int, int]) -> bool:
+        """Whether a free piece of s to s + spare can stand in for pieces of the filling that sum to s."""
+        sums = 1
         for x in filling:
-            inside[x] = inside.get(x, 0) + 1
-        sums = {0}
-        for x in filling[:8]:
-            sums |= {s + x for s in sums}
-        for s in sums:  # a free piece of s to s + spare may stand in for pieces that sum to s
-            lo, hi = bisect_left(self.sizes, max(s, 1)), bisect_right(self.sizes, s + spare)
-            for y in self.sizes[lo:hi]:
-                if self.count[y] > inside.get(y, 0) and (y > s or s not in filling):
+            sums |= sums << x
+        single = 0
+        for x in set(filling):
+            single |= 1 << x
+        for y in sizes:
+            if count[y] > filling.count(y):
+                low = max(y - spare, 0)
+                fits = (sums >> low) & ((2 << y - low) - 1)
+                if fits & ~(1 << (y - low)):
+                    return True
+                # for pieces of the same sum only if they are several
+                if fits >> (y - low) & 1 and not single >> y & 1:
                     return True
         return False
 
@@ -161,8 +164,9 @@ class _Completion:
             largest = self.sizes[-1]
             self.take(largest)
             made = self.fillings(self.capacity - largest, allowed - waste)
+            first = next(made, None)  # the sums are those of the pieces left now
             self.give(largest)
-            return iter([[largest, *f] for f in made])
+            return ([largest, *f] for f in chain(() if first is None else (first,), made))
 
         if self.sizes:
             options.append(branch())
@@ -188,19 +192,18 @@ class _Completion:
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
-    """Martello and Toth's L2: bins that any packing needs; lengths are descending."""
-    total = sum(lengths)
-    best = -(-total // capacity)
-    half = [x for x in lengths if 2 * x > capacity]
-    for k in sorted({x for x in lengths if 2 * x <= capacity} | {0}):
-        big = sum(1 for x in half if x > capacity - k)
-        mid = [x for x in half if x <= capacity - k]
-        small = sum(x for x in lengths if k <= x and 2 * x <= capacity)
-        need = big + len(mid) + max(0, -(-(small - (len(mid) * capacity - sum(mid))) // capacity))
-        best = max(best, need)
-        if k > capacity // 4 and len(lengths) > 512:
-            break
-    return best
+    """Martello and Toth's L2: bins that any packing needs; over every threshold k."""
+    x = np.sort(np.array(lengths, np.int64))
+    if not len(x):
+        return 0
+    sums = np.concatenate([[0], np.cumsum(x)])
+    half = np.searchsorted(x, capacity // 2, "right")
+    k = np.unique(np.append(x[:half], 0))
+    big = np.searchsorted(x, capacity - k, "right")  # from here on pieces leave no room for one of k
+    mid_count, mid_sum = big - half, sums[big] - sums[half]
+    small = sums[half] - sums[np.searchsorted(x, k, "left")]
+    more = np.maximum(0, -(-(small - (mid_count * capacity - mid_sum)) // capacity))
+    return int((len(x) - big + mid_count + more).max())
 
 
 def pack(lengths: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
@@ -215,11 +218,23 @@ def pack(lengths: list[int], capacity: int, steps: int = STEPS) -> list[list[int
     return _Completion(ordered, capacity, steps).improve(incumbent, bound)
 
 
-def pack_group(group: int, ids: list, sizes: list[int], capacity: int, steps: int) -> list[tuple]:
+def pack_group(group: int, ids: list, sizes: list[int], capacity: int, steps: int, group_docs: int = GROUP_DOCS) -> list[tuple]:
     """Rows of BINS for one group of documents."""
+    ordered = sorted(zip(ids, sizes), key=lambda p: (p[1], p[0] is None, p[0] or 0))
+    parts = 1 if len(ordered) <= 2 * group_docs else -(-len(ordered) // group_docs)
+    bins = [b for k in range(parts) for b in _pack_part(ordered[k::parts], capacity, steps)]
+    out = []
+    for k, b in enumerate(bins):
+        used = sum(p[0] for p in b)
+        out.append((group * (1 << 32) + k, [p[1] for p in b], [p[2] for p in b], [p[0] for p in b], used, capacity - used))
+    return out
+
+
+def _pack_part(docs: list[tuple], capacity: int, steps: int) -> list[list[tuple[int, object, int]]]:
+    """Bins of pieces (length, id, start) of documents (id, length)."""
     pieces: list[tuple[int, object, int]] = []
     bins: list[list[tuple[int, object, int]]] = []
-    for i, n in sorted(zip(ids, sizes), key=lambda p: (p[1], p[0] is None, p[0] or 0)):
+    for i, n in docs:
         start = 0
         while n - start > capacity:
             bins.append([(capacity, i, start)])
@@ -230,11 +245,7 @@ def pack_group(group: int, ids: list, sizes: list[int], capacity: int, steps: in
         by_size.setdefault(p[0], []).append(p)
     for b in pack([p[0] for p in pieces], capacity, steps):
         bins.append([by_size[x].pop() for x in b])
-    out = []
-    for k, b in enumerate(bins):
-        used = sum(p[0] for p in b)
-        out.append((group * (1 << 32) + k, [p[1] for p in b], [p[2] for p in b], [p[0] for p in b], used, capacity - used))
-    return out
+    return bins
 
 
 def token_lengths(docs: DataFrame, out: str, text_col: str = "text", vocabulary: str = tokenization.VOCABULARY) -> DataFrame:
@@ -250,10 +261,11 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     """One row of BINS for each bin: documents, the first token and number of tokens of each piece."""
     parts = max(1, -(-docs.count() // group_docs))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t is not null")
-    light = token_lengths(base, "n", "t", vocabulary).select("id", "n", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("long").alias("g"))
+    spread = F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("t"))
+    light = token_lengths(base, "n", "t", vocabulary).select("id", "n", F.pmod(spread, F.lit(parts)).cast("long").alias("g"))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = pack_group(table["g"][0].as_py(), table["id"].to_pylist(), table["n"].to_pylist(), capacity, steps)
+        rows = pack_group(table["g"][0].as_py(), table["id"].to_pylist(), table["n"].to_pylist(), capacity, steps, group_docs)
         cols = list(zip(*rows))
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["bin_id", "doc_ids", "starts", "lengths", "used", "waste"])

@@ -1,3 +1,6 @@
+import collections
+import itertools
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +43,66 @@ def test_optimal_on_small_groups(case):
     assert len(bins) == want >= packing.lower_bound(sorted(lengths, reverse=True), capacity)
 
 
+def _fits(ordered, bins, capacity):
+    """Whether descending lengths fit into so many bins, by trying each distinct room."""
+    room = [capacity] * bins
+
+    def place(k):
+        if k == len(ordered):
+            return True
+        x, tried = ordered[k], set()
+        for b in range(bins):
+            r = room[b]
+            if r >= x and r not in tried:
+                tried.add(r)
+                room[b] -= x
+                if place(k + 1):
+                    return True
+                room[b] += x
+        return False
+
+    return place(0)
+
+
+def test_optimal_on_thousands_of_groups():
+    """Up to 16 pieces: no packing with a bin less exists, however the search was cut short."""
+    assert len(packing.pack([29, 28, 27, 26, 24, 18, 17, 17, 13, 10, 9, 7, 6, 3], 47)) == 5
+    rng, gained = np.random.default_rng(14), 0
+    for _ in range(3000):
+        c = int(rng.choice([20, 47, 60, 100, 150]))
+        low, high = int(rng.choice([1, c // 10, c // 5])), int(rng.choice([c // 2, c * 2 // 3, c]))
+        ls = sorted(rng.integers(low, high + 1, int(rng.integers(8, 17))).tolist(), reverse=True)
+        bins = packing.pack(ls, c)
+        assert sorted((x for b in bins for x in b), reverse=True) == ls and all(sum(b) <= c for b in bins)
+        assert packing.lower_bound(ls, c) <= len(bins)
+        assert len(bins) == -(-sum(ls) // c) or not _fits(ls, len(bins) - 1, c), (c, ls)
+        gained += len(packing.best_fit_decreasing(ls, c)) > len(bins)
+    assert gained > 30
+
+
+def test_fillings_are_all_undominated_ones_by_waste():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        room, ls = int(rng.integers(5, 40)), rng.integers(1, 20, int(rng.integers(1, 9))).tolist()
+        slack = int(rng.integers(0, room))
+        made = list(packing._Completion(ls, 40, 10**6).fillings(room, slack))
+        every = {tuple(sorted(c, reverse=True)) for n in range(len(ls) + 1) for c in itertools.combinations(ls, n) if room - slack <= sum(c) <= room}
+
+        def worse(f):
+            """Whether a piece outside f could replace some inside of no greater sum."""
+            free = collections.Counter(ls) - collections.Counter(f)
+            spare = room - sum(f)
+            return any(sum(c) <= y <= sum(c) + spare and (y > sum(c) or len(c) > 1 and y not in f) for y in free for n in range(len(f) + 1) for c in itertools.combinations(f, n))
+
+        assert {tuple(f) for f in made} == {f for f in every if not worse(f)} and len(made) == len(set(map(tuple, made)))
+        assert [sum(f) for f in made] == sorted((sum(f) for f in made), reverse=True)
+
+
+def test_large_groups_of_one_id_are_packed_in_parts():
+    rows = packing.pack_group(0, [None] * 500, [7] * 500, 64, 100, group_docs=50)
+    assert sum(len(r[1]) for r in rows) == 500 and len({r[0] for r in rows}) == len(rows) <= 60
+
+
 def test_search_beats_best_fit():
     lengths = [6, 6, 5, 4, 4, 4, 4, 3, 3, 3, 3, 3]  # best fit puts 5 with 6-sized gaps wrongly for some capacity
     for capacity in (10, 11, 12):
