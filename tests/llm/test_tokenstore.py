@@ -1,4 +1,6 @@
-import os
+import base64
+import hashlib
+import io
 
 import numpy as np
 import pytest
@@ -17,7 +19,7 @@ def _stored(df, folder):
 def test_round_trip(spark, tmp_path, rng):
     docs = spark.createDataFrame([(k, prose(rng, int(n)), "en", "s", 0) for k, n in enumerate(rng.integers(1, 400, 60))], DOCS).repartition(3)
     index, rows = _stored(docs, tmp_path / "t")
-    assert len(rows) == 60 and {f for f in os.listdir(tmp_path / "t") if f.endswith(".zst")} == {r.file for r in rows.values()}
+    assert len(rows) == 60 and _files(tmp_path / "t") == {r.file for r in rows.values()}
     texts = {r.doc_id: r.text for r in docs.collect()}
     coder = tokenization.encoder()
     got = {r.doc_id: r.ids for r in tokenstore.read(index, str(tmp_path / "t")).collect()}
@@ -60,12 +62,54 @@ def test_damage_is_noticed(spark, tmp_path, rng):
         tokenstore.FrameReader(f"file://{path}")
 
 
+def _files(folder):
+    return {p.relative_to(folder).as_posix() for p in folder.rglob("*.zst")}
+
+
 def test_orphans_of_lost_attempts_are_removed(spark, tmp_path, rng):
     docs = spark.createDataFrame([(1, prose(rng, 50), "en", "s", 0)], DOCS)
-    (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "part-lost.zst").write_bytes(b"half a file")
     index, rows = _stored(docs, tmp_path / "t")
-    assert [f for f in os.listdir(tmp_path / "t") if f.endswith(".zst")] == [next(iter(rows.values())).file]
+    file = next(iter(rows.values())).file
+    lost = tmp_path / "t" / file.split("/")[0] / "part-lost.u16.zst"
+    lost.write_bytes(b"half a file")
+    tokenstore._remove_orphans(index, f"file://{lost.parent}")
+    assert _files(tmp_path / "t") == {file}
+
+
+def test_a_second_write_keeps_the_first(spark, tmp_path, rng):
+    docs = spark.createDataFrame([(k, prose(rng, 50), "en", "s", 0) for k in range(20)], DOCS).repartition(2)
+    first, rows = _stored(docs.where("doc_id < 10"), tmp_path / "t")
+    second, more = _stored(docs.where("doc_id >= 10"), tmp_path / "t")
+    assert _files(tmp_path / "t") == {r.file for r in [*rows.values(), *more.values()]}
+    both = tokenstore.read(first.unionByName(second), str(tmp_path / "t")).collect()
+    coder, texts = tokenization.encoder(), {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: coder.decode(r.ids[:-1]) for r in both} == texts
+
+
+def test_large_vocabulary(spark, tmp_path, rng):
+    """Ids beyond 16 bits, and a vocabulary in which the usual end-of-text id is a token."""
+    path = tmp_path / "v.tiktoken"
+    names = [bytes([k]) for k in range(256)] + [b"%c%c%c" % (97 + k % 26, 97 + k // 26 % 26, 97 + k // 676) for k in range(17576)] + [b"\x00%d" % k for k in range(60_000)]
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {k}\n" for k, t in enumerate(names)))
+    assert tokenization.end_of_text(str(path)) == len(names) and tokenization.end_of_text() == tokenization.END_OF_TEXT == 50256
+    docs = spark.createDataFrame([(1, "\x007 abc"), (2, "")], "doc_id long, text string")
+    index = tokenstore.write(docs, str(tmp_path / "t"), vocabulary=str(path))
+    assert all(f.endswith(".u32.zst") for f in _files(tmp_path / "t"))
+    got = {r.doc_id: r.ids for r in tokenstore.read(index, str(tmp_path / "t")).collect()}
+    coder = tokenization.encoder(str(path))
+    assert got == {1: [*coder.encode_ordinary("\x007 abc"), len(names)], 2: [len(names)]}
+    with io.BytesIO() as f:
+        tokenstore.FrameWriter(f, "<u4").append([65_536, 2**31])
+    (tmp_path / "x.zst").write_bytes(b"")
+    with pytest.raises(ValueError, match="width"):
+        tokenstore.FrameReader(f"file://{tmp_path / 'x.zst'}")
+
+
+def test_digests_of_what_is_read_back(spark, tmp_path, rng):
+    docs = spark.createDataFrame([(k, prose(rng, 30) + " été \u0000 日本", "en", "s", 0) for k in range(12)] + [(None, "x", None, None, None), (7, "", None, None, None), (8, None, None, None, None)], DOCS)
+    got = tokenstore.read_digests(tokenstore.write(docs, str(tmp_path / "t")), str(tmp_path / "t")).collect()
+    want = [(r.doc_id, len(r.text.encode()), hashlib.md5(r.text.encode()).hexdigest()) for r in docs.collect() if r.text is not None]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
 def test_odd_rows(tmp_path, odd, none):
