@@ -17,13 +17,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows as the compacted store reads them, texts by length and digest."""
     folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    return shards.sharded(table(spark, "documents", sf_dir), folder)
+    rows = shards.sharded(table(spark, "documents", sf_dir), folder).read()
+    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("digest"))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A message that replies to nothing refers to itself here, so that the column has no nulls."""
-    return threads.conversations(table(spark, "conversations", sf_dir)).withColumn("reply_to", F.coalesce("reply_to", "turn"))
+    return threads.conversations(table(spark, "conversations", sf_dir))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +48,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all texts, then reads every frame by the index and returns what it decodes to, by length and digest."""
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    return tokenstore.write(table(spark, "documents", sf_dir), folder)
+    return tokenstore.read_digests(tokenstore.write(table(spark, "documents", sf_dir), folder), folder)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE_SQL = {
+    "op2_sharding": "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS text_bytes, md5(text) AS digest FROM documents",
+    "op9_token_output": "SELECT doc_id, strlen(text)::BIGINT AS text_bytes, md5(text) AS digest FROM documents WHERE text IS NOT NULL",
     "op8_exact_dedup": """
 SELECT doc_id, keep AS duplicate_of
 FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
@@ -91,6 +95,6 @@ linked AS (
 tree AS (
   SELECT conv_id, turn, [turn] AS path FROM linked WHERE reply_to IS NULL
   UNION ALL SELECT l.conv_id, l.turn, list_append(t.path, l.turn) FROM tree t JOIN linked l ON l.conv_id = t.conv_id AND l.reply_to = t.turn)
-SELECT l.conv_id, (row_number() OVER (PARTITION BY l.conv_id ORDER BY path) - 1)::BIGINT AS position, l.turn, l.role, coalesce(l.reply_to, l.turn) AS reply_to, (len(path) - 1)::BIGINT AS depth, l.text
+SELECT l.conv_id, (row_number() OVER (PARTITION BY l.conv_id ORDER BY path) - 1)::BIGINT AS position, l.turn, l.role, l.reply_to, (len(path) - 1)::BIGINT AS depth, l.text
 FROM linked l JOIN tree USING (conv_id, turn)""",
 }
