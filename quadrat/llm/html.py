@@ -1,20 +1,31 @@
 """HTML extraction with removal of site templates.
 
 Every element's subtree is hashed: tag, attributes and, in order, texts and
-children. Spark counts on how many pages of a host each subtree occurs. A
-subtree on at least `min_pages` pages and `share` of the host's pages is part of
-the site's template; each page's text is then extracted without such subtrees,
-wherever in the page they are. html, head and body are structure and never
-deleted as a whole.
+children. Spark counts on how many distinct pages of a host each subtree occurs.
+A subtree is part of the site's template if that is at least MIN_PAGES pages and,
+of the host's distinct pages,
 
-Pages are parsed where they lie; what is shuffled is one (host, hash) pair of
-16 bytes for each subtree, partially counted before. The templates of all hosts
-are broadcast only if measured to be few; otherwise pages and templates are
-joined by host, and adaptive execution splits the pages of a large host.
+  - a share of SHARE for containers (nav, header, footer, aside, div, lists ...),
+    since a host may have many templates, each on few of its pages;
+  - a share of BLOCK_SHARE for blocks of text (p, h1 to h6, li, pre ...), which recur
+    on some pages as content does;
+
+inline elements, cells and rows of tables go with what they are in, never alone.
+Each page's text is then extracted without the template, wherever in the page it
+is. html, head and body are structure and never deleted as a whole.
+
+Pages are parsed where they lie, once to count and once to extract. What is shuffled
+is one array of hashes for each distinct page and one (host, hash) pair of 16 bytes
+for each subtree, partially counted before. Templates reach the pages by host,
+broadcast only if measured to be few; otherwise pages and templates are joined by
+host, and adaptive execution splits the pages of a large host.
 
 Defined results: a null html has a null text, an empty one an empty text; pages
-with a null or hostless url belong to no site and lose nothing; a repeated page
-counts as often as it is there; unclosed and misnested tags close as browsers
+with a null or hostless url belong to no site and lose nothing; copies of a page
+on one host, under any id or url, count as one page, and each has its row;
+subtrees that tie at a threshold are deleted; very long and deep pages take time
+in proportion to their length; an empty table has no rows; extra columns, whatever
+their names, aren't carried along; unclosed and misnested tags close as browsers
 close them in the common cases; comments, scripts and styles are never text.
 """
 
@@ -32,7 +43,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-MIN_PAGES, SHARE = 5, 0.01
+MIN_PAGES, SHARE, BLOCK_SHARE = 5, 0.01, 0.5
 
 _TAG = re.compile(r"""<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>""")
 _SPACE = re.compile(r"\s+")
@@ -41,8 +52,12 @@ _RAW = {t: re.compile(f"</{t}[^>]*>", re.I) for t in ("script", "style", "textar
 _NO_TEXT = frozenset("script style head title noscript template svg".split())
 _STRUCTURE = frozenset("html head body".split())
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split())
+#: What may be deleted by SHARE, and what only by BLOCK_SHARE.
+_CONTAINERS = frozenset("article aside details div dl fieldset figure footer form header iframe main menu nav noscript object ol script section select style svg table template ul".split())
+_TEXTS = frozenset("address blockquote button figcaption h1 h2 h3 h4 h5 h6 label legend li p pre summary".split())
 _CLOSES_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "body", "html", "dd", "dt", "li"}
-_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
+#: Open elements of a scope that an opening tag closes.
+_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}} | dict.fromkeys(_CLOSES_P, {"p"})
 _BARRIER = frozenset("table ul ol dl select body html article section div".split())
 
 
@@ -61,6 +76,9 @@ def parse(page: str) -> tuple[list[tuple[str, object]], list[_Node]]:
     nodes: list[_Node] = []
     root = _Node("", 0)
     stack = [root]
+    #: open elements by tag: of the page, and of each scope that a barrier begins, so that no tag searches the stack
+    everywhere: dict[str, int] = {}
+    scopes: list[dict[str, int]] = [{}]
 
     def close() -> None:
         node = stack.pop()
@@ -68,6 +86,11 @@ def parse(page: str) -> tuple[list[tuple[str, object]], list[_Node]]:
         stack[-1].parts.append(f"#{node.hash:x}")
         tokens.append(("close", node))
         node.end = len(tokens)
+        everywhere[node.tag] -= 1
+        if node.tag in _BARRIER:
+            scopes.pop()
+        else:
+            scopes[-1][node.tag] -= 1
 
     def text(s: str) -> None:
         if s and not s.isspace():
@@ -91,27 +114,24 @@ def parse(page: str) -> tuple[list[tuple[str, object]], list[_Node]]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            while depth and len(stack) > depth:
+            if everywhere.get(tag):
+                while stack[-1].tag != tag:
+                    close()
                 close()
             continue
-        if tag in _CLOSES_P and any(n.tag == "p" for n in stack):
-            while stack[-1].tag != "p" and not _BARRIER.intersection((stack[-1].tag,)):
+        if tag in _SAME:
+            while any(scopes[-1].get(t) for t in _SAME[tag]):
                 close()
-            if stack[-1].tag == "p":
-                close()
-        elif tag in _SAME:
-            depth = len(stack) - 1
-            while depth > 0 and stack[depth].tag not in _SAME[tag] and stack[depth].tag not in _BARRIER:
-                depth -= 1
-            if depth > 0 and stack[depth].tag in _SAME[tag]:
-                while len(stack) > depth:
-                    close()
         attributes = m[3] if m[2] else m[6]
         node = _Node(tag, len(tokens), [tag, _SPACE.sub(" ", attributes.strip(" /\n\t"))])
         nodes.append(node)
         tokens.append(("open", node))
         stack.append(node)
+        everywhere[tag] = everywhere.get(tag, 0) + 1
+        if tag in _BARRIER:
+            scopes.append({})
+        else:
+            scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
         if tag in _VOID:
             close()
         elif tag in _RAW:
@@ -125,11 +145,17 @@ def parse(page: str) -> tuple[list[tuple[str, object]], list[_Node]]:
 
 
 def subtrees(page: str) -> list[int]:
-    """Distinct hashes of the subtrees of a page that may be deleted."""
-    return list({n.hash for n in parse(page)[1] if n.tag not in _STRUCTURE and n.tag not in _VOID})
+    """Distinct hashes of the subtrees that may be deleted; the last bit is set for blocks of text."""
+    return list({key for n in parse(page)[1] if (key := _key(n)) is not None})
 
 
-def extract(page: str, drop: set[int]) -> tuple[str, int]:
+def _key(node: _Node) -> int | None:
+    if node.tag in _CONTAINERS:
+        return node.hash & ~1
+    return node.hash | 1 if node.tag in _TEXTS else None
+
+
+def extract(page: str, drop: frozenset[int] | set[int]) -> tuple[str, int]:
     """The text of a page without the dropped subtrees, one line a block, and how many were dropped."""
     tokens, _ = parse(page)
     lines: list[str] = []
@@ -141,7 +167,7 @@ def extract(page: str, drop: set[int]) -> tuple[str, int]:
         if kind == "text":
             line.append(x)
             continue
-        if kind == "open" and x.tag not in _STRUCTURE and x.tag not in _VOID and x.hash in drop:
+        if kind == "open" and _key(x) in drop:
             removed += 1
             k = x.end
         elif kind == "open" and x.tag in _NO_TEXT:
@@ -160,30 +186,40 @@ def _subtrees(pages: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.StructType().add("text", T.StringType()).add("removed", T.LongType()))
-def _extract(pages: pa.Array, drops: pa.Array) -> pa.Array:
-    out = [None if p is None else extract(p, set(d or ())) for p, d in zip(pages.to_pylist(), drops.to_pylist())]
-    return pa.array([None if x is None else {"text": x[0], "removed": x[1]} for x in out], pa.struct([("text", pa.string()), ("removed", pa.int64())]))
-
-
-def templates(pages: DataFrame, scratch: common.Scratch, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def _extract(pages: pa.Array, hosts: pa.Array, drops: pa.Array) -> pa.Array:
+    if isinstance(drops, pa.ChunkedArray):
+        drops = drops.combine_chunks()
+    sets: dict[int | None, frozenset[int]] = {}
+    out = []
+    for k, (p, host) in enumerate(zip(pages.to_pylist(), hosts.to_pylist())):
+        if host not in sets:  # all pages of a host have the same templates
+            sets[host] = frozenset(drops[k].as_py() or ())
+        out.append(None if p is None else dict(zip(("text", "removed"), extract(p, sets[host]))))
+    return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.int64())]))
+
+
+def templates(pages: DataFrame, scratch: common.Scratch, min_pages: int = MIN_PAGES, share: float = SHARE, block_share: float = BLOCK_SHARE) -> DataFrame:
     """(host, drop): the hashes of each host's template subtrees. pages: host, html."""
-    each = pages.where("host is not null and html is not null").select("host", _subtrees("html").alias("h"))
-    each = each.select(F.xxhash64("host").alias("host"), F.explode(F.concat("h", F.array(F.lit(-1).cast("long")))).alias("hash"))
+    each = pages.where("host is not null and html is not null").select(F.xxhash64("host").alias("host"), F.xxhash64("html", F.length("html")).alias("page"), _subtrees("html").alias("h"))
+    # one row of each distinct page, by host and page, so that a large host is spread
+    each = each.dropDuplicates(["host", "page"])
+    each = each.select("host", F.explode(F.concat("h", F.array(F.lit(-1).cast("long")))).alias("hash"))
     n = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     n = scratch.stored(n, "subtrees")
     hosts = n.where("hash = -1").select("host", F.col("n").alias("pages"))
-    many = n.where("hash <> -1").join(hosts, "host").where(F.col("n") >= F.col("pages") * share)
+    least = F.when(F.col("hash") % 2 == 0, F.lit(share)).otherwise(F.lit(block_share))
+    many = n.where("hash <> -1").join(hosts, "host").where(F.col("n") >= F.col("pages") * least)
     return many.groupBy("host").agg(F.collect_list("hash").alias("drop"))
 
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, block_share: float = BLOCK_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, text, removed) of each page."""
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     base = pages.select(F.col(id_col).alias("page_id"), F.nullif(host, F.lit("")).alias("host"), F.col(html_col).alias("html"))
     scratch = common.Scratch()
-    t = common.stored(templates(base, scratch, min_pages, share), "templates")
+    t = common.stored(templates(base, scratch, min_pages, share, block_share), "templates")
     scratch.clear()
     rows, hashes = t.agg(F.count("*"), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
-    rows = base.withColumn("k", F.xxhash64("host")).join(common.small(t.toDF("k", "all"), 1, 64 * rows + 8 * hashes), "k", "left")
-    drop = F.when(F.col("host").isNotNull() & F.col("all").isNotNull(), F.array_intersect(_subtrees("html"), F.col("all")))
-    return rows.select("page_id", _extract("html", drop).alias("x")).select("page_id", "x.text", F.coalesce("x.removed", F.lit(0).cast("long")).alias("removed"))
+    key = F.when(F.col("host").isNotNull(), F.xxhash64("host"))
+    rows = base.withColumn("k", key).join(common.small(t.toDF("k", "all"), 1, 64 * rows + 8 * hashes), "k", "left")
+    return rows.select("page_id", _extract("html", "k", "all").alias("x")).select("page_id", "x.text", F.coalesce("x.removed", F.lit(0).cast("long")).alias("removed"))
