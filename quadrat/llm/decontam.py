@@ -20,8 +20,13 @@ vocabulary and the document frequencies of all N items besides, 17 bytes a
 shingle, so that results don't depend on the number of parts.
 
 Defined results: null and empty texts, of documents or items, match nothing; a
-document shorter than an item is one window; items with the same text all
-match; repeated rows give repeated results; a null doc_id is reported as null.
+document shorter than an item is one window; a very long document is taken in
+stretches of SPAN shingles, with the same result; items with the same text all
+match; of windows equally similar to an item the first counts; repeated rows, of
+documents or items, give repeated results; a null doc_id or item_id is reported as
+null, and item ids may be of any type; with an empty table nothing matches. Extra
+columns, whatever their names, pass decontaminate() untouched; leaks() doesn't carry
+them along.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, tokens
 
@@ -40,6 +46,8 @@ WIDTH = 2
 RADIUS = 23
 BLOCK_BITS = (8,) * 8
 THRESHOLD = 0.5
+#: Windows that begin in so many shingles share their running sums, of 512 bytes a shingle.
+SPAN = 1 << 16
 #: Bytes of index and of shingles of an item of ordinary length.
 ITEM_BYTES = 8192
 
@@ -183,42 +191,48 @@ class Index:
             weight[hit] = self.weight[at]
             shingle = np.full(len(code), -1)
             shingle[hit] = at
-            # only the stretches under some window take part in the running sums
-            under = np.zeros(len(code) + 1, np.int32)
-            np.add.at(under, start, 1)
-            np.add.at(under, np.minimum(start + self.lengths[-1], doc_end[start]), -1)
-            under = np.cumsum(under[:-1]) > 0
-            place = np.concatenate([[0], np.cumsum(under)])
-            total = running_sums(code[under], weight[under])
-            whole = np.concatenate([[0], np.cumsum(weight[under])])
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            for rank, size in enumerate(self.lengths):
-                end = np.minimum(start + size, doc_end[start])
-                known = gain[end] - gain[start]
-                near = known >= self.threshold * self.lightest[rank] - 1e-9
-                s, e, known = start[near], end[near], known[near]
-                # what is shared is at most `known`, so the similarity is at most known / (window + item - known)
-                both = whole[place[e]] - whole[place[s]]
-                keep = known * (1 + self.threshold) >= self.threshold * (both + self.lightest[rank]) - 1e-9
-                if not keep.any():
-                    continue
-                s, e, known, both = s[keep], e[keep], known[keep], both[keep]
-                for lo in range(0, len(s), 1 << 16):
-                    s_, e_ = s[lo : lo + (1 << 16)], e[lo : lo + (1 << 16)]
-                    w, i = self.candidates(rank, simhash(total, place[s_], place[e_]))
-                    mine = self._shared(shingle, weight, s_[w], e_[w], i)
-                    can = mine * (1 + self.threshold) >= self.threshold * (both[lo + w] + self.total[i]) - 1e-9
-                    w, i = w[can], i[can]
-                    for x, item in zip(w.tolist(), i.tolist()):
-                        sim = weighted_jaccard(code[s_[x] : e_[x]], weight[s_[x] : e_[x]], self.items[item])
-                        if sim >= self.threshold:
-                            row = int(np.searchsorted(first, s_[x], "right")) - 1
-                            found = (sim, -int(s_[x] - first[row]))
-                            if found > best.get((row, item), (0.0, 0)):
-                                best[row, item] = found
+            for part in np.split(start, np.flatnonzero(np.diff(start // SPAN)) + 1):
+                self._best(best, part, doc_end[part], first, code, weight, shingle, gain)
             out += [(a + row, item, sim, -neg) for (row, item), (sim, neg) in best.items()]
         return out
 
+    def _best(self, best: dict[tuple[int, int], tuple[float, int]], start: np.ndarray, doc_end: np.ndarray, first: np.ndarray, code: np.ndarray, weight: np.ndarray, shingle: np.ndarray, gain: np.ndarray) -> None:
+        """Put the most similar of the windows that begin at start, by row and item, into best."""
+        # only the stretches under some window take part in the running sums
+        low, high = int(start[0]), int(np.minimum(start + self.lengths[-1], doc_end).max())
+        under = np.zeros(high - low + 1, np.int32)
+        np.add.at(under, start - low, 1)
+        np.add.at(under, np.minimum(start + self.lengths[-1], doc_end) - low, -1)
+        under = np.cumsum(under[:-1]) > 0
+        place = np.concatenate([[0], np.cumsum(under)])
+        total = running_sums(code[low:high][under], weight[low:high][under])
+        whole = np.concatenate([[0], np.cumsum(weight[low:high][under])])
+        for rank, size in enumerate(self.lengths):
+            end = np.minimum(start + size, doc_end)
+            known = gain[end] - gain[start]
+            near = known >= self.threshold * self.lightest[rank] - 1e-9
+            s, e, known = start[near], end[near], known[near]
+            # what is shared is at most `known`, so the similarity is at most known / (window + item - known)
+            both = whole[place[e - low]] - whole[place[s - low]]
+            keep = known * (1 + self.threshold) >= self.threshold * (both + self.lightest[rank]) - 1e-9
+            if not keep.any():
+                continue
+            s, e, both = s[keep], e[keep], both[keep]
+            for lo in range(0, len(s), 1 << 16):
+                s_, e_ = s[lo : lo + (1 << 16)], e[lo : lo + (1 << 16)]
+                w, i = self.candidates(rank, simhash(total, place[s_ - low], place[e_ - low]))
+                mine = self._shared(shingle, weight, s_[w], e_[w], i)
+                can = mine * (1 + self.threshold) >= self.threshold * (both[lo + w] + self.total[i]) - 1e-9
+                w, i = w[can], i[can]
+                for x, item in zip(w.tolist(), i.tolist()):
+                    sim = weighted_jaccard(code[s_[x] : e_[x]], weight[s_[x] : e_[x]], self.items[item])
+                    if sim >= self.threshold:
+                        row = int(np.searchsorted(first, s_[x], "right")) - 1
+                        found = (sim, -int(s_[x] - first[row]))
+                        if found > best.get((row, item), (0.0, 0)):
+                            best[row, item] = found
+
 
 def _whole(items: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted shingles of all items (t), the number of items that have each, and of items that have any."""
@@ -257,7 +271,8 @@ def _indexes(benchmark: DataFrame, threshold: float, pass_bytes: int, id_col: st
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): each document's best window of each item it holds."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where("t is not null")
-    out = None
+    kind = benchmark.schema[item_col].dataType
+    arrow, out = to_arrow_type(kind), None
     for index in _indexes(benchmark, threshold, pass_bytes, item_col, item_text_col):
         box = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -266,10 +281,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, i
             for batch in batches:
                 found = index.matches(batch.column(1))
                 ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
-                cols = [ids, pa.array([index.ids[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64()), pa.array([x[3] for x in found], pa.int64())]
+                cols = [ids, pa.array([index.ids[x[1]] for x in found], arrow), pa.array([x[2] for x in found], pa.float64()), pa.array([x[3] for x in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "similarity", "first_word"])
 
-        part = base.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+        part = base.mapInArrow(run, f"doc_id long, item_id {kind.simpleString()}, similarity double, first_word long")
         out = part if out is None else out.unionByName(part)
     return out
 
