@@ -8,18 +8,23 @@ k times". A feature's value is its naive Bayes log-count ratio
     r = log((p + 1/2) / toxic) - log((q + 1/2) / clean),
 
 p and q being the toxic and clean training documents that have it. Features
-seen in too few documents or with |r| within noise are dropped, and logistic
-regression is fitted on the scaled rest.
+seen in fewer than `least_docs` documents or whose shares in the two classes differ
+by less than `least_z` standard errors are dropped, of the rest the `max_features`
+that differ most are kept, and logistic regression is fitted on them, scaled.
 
 Training uses a bounded sample of labelled rows: at most `max_toxic` and
-`max_clean` documents, taken by the hash of the id. Scoring reads every byte of
+`max_clean` documents, taken by the hash of the id after each document's labels are
+made one; it holds their whole texts in one task. Scoring reads every byte of
 every document, keeps no state between rows and shuffles nothing.
 
 Defined results: a null text has a null score and isn't toxic; an empty text
-scores the intercept; labels that are null or whose document is missing are
-ignored; of several labels of one document the largest counts; with no label of
-either class every score is 0. Repeated rows get equal scores. Other columns
-of the documents, whatever their names, pass through untouched.
+scores the intercept; a very long text is scored whole; a score at the threshold is
+toxic; a label above 0 is toxic, any other clean; labels that are null or whose
+document is missing are ignored; of several labels of one document the largest
+counts; with no label of either class every score is 0. Repeated rows get equal
+scores, and all rows that share a labelled id are trained on. An empty table has no
+rows. Other columns of the documents, whatever their names, pass drop_toxic()
+untouched; detect() doesn't carry them along.
 """
 
 from __future__ import annotations
@@ -76,7 +81,7 @@ def _features(buf: np.ndarray, offsets: np.ndarray, kept: np.ndarray | None) ->
     return np.concatenate(docs), np.concatenate(feats)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 400, least_docs: int = 4, least_z: float = 5.0) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 400, least_docs: int = 4, least_z: float = 5.0, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, intercept) with the ratios folded into the weights."""
     none = np.empty(0, np.int64), np.empty(0), -30.0
     y = toxic.astype(float)
@@ -97,8 +102,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 400, least_docs: int =
     spread = np.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg))
     z = np.divide(np.abs(p / pos - q / neg), spread, out=np.zeros(len(p)), where=spread > 0)
     best = np.flatnonzero(z > least_z)
-    if len(best) > MAX_FEATURES:
-        best = np.sort(best[np.argsort(-z[best], kind="stable")[:MAX_FEATURES]])
+    if len(best) > max_features:
+        best = np.sort(best[np.argsort(-z[best], kind="stable")[:max_features]])
     chosen, ratio = often[best], ratio[best]
     if not len(chosen):
         return none
@@ -145,18 +150,19 @@ def score(texts: pa.Array, model: tuple[np.ndarray, np.ndarray, float]) -> np.nd
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit in one task on a bounded sample; only the model comes to the driver."""
-    lab = labels.select(F.col(id_col).alias("i"), F.col("toxic").alias("y")).where("i is not null and y is not null")
+    lab = labels.select(F.col(id_col).alias("i"), (F.col("toxic") > 0).cast("int").alias("y")).where("i is not null and y is not null")
+    lab = lab.groupBy("i").agg(F.max("y").alias("y"))  # before the bounds, so that no label is taken for the only one
     part = [lab.where(c).orderBy(F.xxhash64("i"), "i").limit(n) for c, n in (("y = 1", max_toxic), ("y = 0", max_clean))]
-    sample = part[0].unionByName(part[1]).groupBy("i").agg(F.max("y").alias("y"))
+    sample = part[0].unionByName(part[1])
     texts = docs.select(F.col(id_col).alias("j"), F.col(text_col).alias("t")).where("t is not null")
     rows = texts.join(F.broadcast(sample), F.col("i") == F.col("j")).select("j", "t", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches), pa.schema([("j", pa.int64()), ("t", pa.string()), ("y", pa.int64())]))
         got = got.sort_by([("j", "ascending"), ("t", "ascending")])
-        f, w, b = fit(got["t"].combine_chunks(), got["y"].to_numpy())
+        f, w, b = fit(got["t"].combine_chunks(), got["y"].to_numpy(), max_features=max_features)
         yield pa.RecordBatch.from_arrays([pa.array([f], pa.list_(pa.int64())), pa.array([w], pa.list_(pa.float64())), pa.array([float(b)])], ["f", "w", "b"])
 
     rows = rows.select(F.col("j").cast("long"), "t", F.col("y").cast("long"))
