@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators.pairs import hilbert_rank, ranked, theta_pairs
+from .operators.pairs import hilbert_rank, ranked, theta_pairs, tile_pairs
 from .options import Options
 
 
+#: Items up to which "auto" evaluates an expression over a theta join, which sends all of them to every task.
+THETA_ITEMS = 1000
+
+
 @dataclass(frozen=True)
 class Application:
     """What an application supplies.
@@ -24,8 +28,9 @@ class Application:
     compare: either a function of two payload columns, which stays in the JVM, or
       - block: (payloads, payloads) -> matrix of results, for dense kernels, or
       - pair: (payload, payload) -> result, called for each pair.
-    Payloads that are vectors of one length reach these as a NumPy matrix.
-    result: Spark type of a result. post: results DataFrame -> DataFrame.
+    decode: Arrow column of payloads -> a sequence that can be sliced, made once a
+    side of a tile; without it vectors of one length are a NumPy matrix, other
+    payloads a list. result: Spark type of a result. post: results DataFrame -> DataFrame.
     """
 
     key: str
@@ -33,6 +38,7 @@ class Application:
     expression: Callable[[Column, Column], Column] | None = None
     block: Callable[[list, list], np.ndarray] | None = None
     pair: Callable[[object, object], object] | None = None
+    decode: Callable[[pa.Array], Sequence] | None = None
     result: T.DataType = T.DoubleType()
     post: Callable[[DataFrame], DataFrame] | None = None
 
@@ -50,11 +56,15 @@ def all_pairs(app: Application, items: DataFrame, options: Options = Options())
     """
     prepared = app.prep(items) if app.prep else items
     keyed, n = ranked(prepared.select(F.col(app.key).alias("key"), "payload"), "key")
-    strategy = options.strategy if options.strategy != "auto" else "theta" if app.expression is not None else "tile"
-    if strategy == "theta":
-        if app.expression is None:
-            raise ValueError("the theta strategy needs an expression")
-        pairs = theta_pairs(keyed, options.include_diagonal)
+    functions = app.block is not None or app.pair is not None
+    strategy = options.strategy
+    if strategy == "auto":
+        strategy = "theta" if app.expression is not None and n <= THETA_ITEMS else "tile"
+    if strategy == "theta" and app.expression is None:
+        raise ValueError("the theta strategy needs an expression")
+    if strategy == "theta" or not functions:
+        edge = options.tile or tile_edge(n, keyed.sparkSession.sparkContext.defaultParallelism)
+        pairs = theta_pairs(keyed, options.include_diagonal) if strategy == "theta" else tile_pairs(keyed, edge, options.include_diagonal)
         out = pairs.select(F.col("i.key").alias("i"), F.col("j.key").alias("j"), app.expression(F.col("i.payload"), F.col("j.payload")).alias("result"), F.lit(None).cast("string").alias("error"))
     else:
         out = _tiled(app, keyed, n, options)
@@ -73,20 +83,29 @@ def _tiled(app: Application, keyed: DataFrame, n: int, options: Options) -> Data
     if options.hilbert:
         bits = max(1, int(last).bit_length())
         placed = placed.repartitionByRange(spark.sparkContext.defaultParallelism * 4, hilbert_rank(F.col("ti"), F.col("tj"), bits))
-    key_type = keyed.schema["key"].dataType
+    diagonal = options.include_diagonal
+
+    def kept(pi: np.ndarray, pj: np.ndarray) -> np.ndarray:
+        return pi[:, None] <= pj[None, :] if diagonal else pi[:, None] < pj[None, :]
+
+    return _compared(app, placed, kept, options)
+
+
+def _compared(app: Application, placed: DataFrame, kept: Callable[[np.ndarray, np.ndarray], np.ndarray], options: Options) -> DataFrame:
+    """(i, j, result, error) of the kept pairs of sides 0 and 1 of each tile. placed: ti, tj, side, pos, key, payload."""
+    key_type = placed.schema["key"].dataType
     schema = T.StructType([T.StructField("i", key_type), T.StructField("j", key_type), T.StructField("result", app.result), T.StructField("error", T.StringType())])
     arrow = _arrow_type(app.result)
-    diagonal, block, pair, strict = options.include_diagonal, app.block, app.pair, options.fail_fast
+    block, pair, decode, strict = app.block, app.pair, app.decode or _payloads, options.fail_fast
 
     def run(table: pa.Table) -> pa.Table:
         sides = []
         side = table["side"].to_numpy()
         for s in (0, 1):
             part = table.filter(pa.array(side == s)).sort_by("pos")
-            sides.append((part["key"].combine_chunks(), part["pos"].to_numpy(), _payloads(part["payload"].combine_chunks())))
+            sides.append((part["key"].combine_chunks(), part["pos"].to_numpy(), decode(part["payload"].combine_chunks())))
         (ki, pi, xi), (kj, pj, xj) = sides
-        keep = pi[:, None] <= pj[None, :] if diagonal else pi[:, None] < pj[None, :]
-        a, b = np.nonzero(keep)
+        a, b = np.nonzero(kept(pi, pj))
         results, errors = _compare(block, pair, xi, xj, a, b, strict)
         return pa.Table.from_arrays([ki.take(pa.array(a)), kj.take(pa.array(b)), pa.array(results, arrow), pa.nulls(len(a), pa.string()) if errors is None else pa.array(errors, pa.string())], ["i", "j", "result", "error"])
 
@@ -112,12 +131,11 @@ def _compare(block: Callable | None, pair: Callable | None, xi: object, xj: obje
         except Exception:
             if strict:
                 raise
-            pair = pair or (lambda x, y: np.asarray(block([x], [y]))[0, 0])
     results: list[object] = []
     errors: list[str | None] = []
     for i, j in zip(a.tolist(), b.tolist()):
         try:
-            results.append(pair(xi[i], xj[j]))
+            results.append(pair(xi[i], xj[j]) if pair is not None else np.asarray(block(xi[i : i + 1], xj[j : j + 1]))[0, 0])
             errors.append(None)
         except Exception as e:
             if strict:
@@ -133,12 +151,33 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
-def new_pairs(app: Application, old: DataFrame, new: DataFrame, options: Options = Options()) -> Iterator[DataFrame]:
-    """The pairs that arrivals add to a finished run: new x new, then old x new."""
-    yield all_pairs(app, new, options)
-    a = (app.prep(old) if app.prep else old).select(F.col(app.key).alias("i"), F.col("payload").alias("pi"))
-    b = (app.prep(new) if app.prep else new).select(F.col(app.key).alias("j"), F.col("payload").alias("pj"))
-    if app.expression is None:
-        raise ValueError("arrivals need an expression")
-    both = a.crossJoin(b).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), app.expression(F.col("pi"), F.col("pj")).alias("result"), F.lit(None).cast("string").alias("error"))
-    yield app.post(both) if app.post else both
+def new_pairs(app: Application, old: DataFrame, new: DataFrame, options: Options = Options()) -> list[DataFrame]:
+    """The pairs that arrivals add to a finished run: new x new, and old x new with the smaller key first, as a batch has them."""
+    inside = all_pairs(app, new, options)
+    sides = [(app.prep(x) if app.prep else x).select(F.col(app.key).alias("key"), "payload") for x in (old, new)]
+    if app.block is None and app.pair is None:
+        a, b = (x.select(F.struct("key", "payload").alias(name)) for x, name in zip(sides, "ab"))
+        ordered = F.col("a.key") < F.col("b.key")
+        both = a.crossJoin(b).select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("i"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("j"))
+        out = both.select(F.col("i.key").alias("i"), F.col("j.key").alias("j"), app.expression(F.col("i.payload"), F.col("j.payload")).alias("result"), F.lit(None).cast("string").alias("error"))
+    else:
+        out = _crossed(app, *sides, options)
+    return [inside, app.post(out) if app.post else out]
+
+
+def _crossed(app: Application, old: DataFrame, new: DataFrame, options: Options) -> DataFrame:
+    """Tiles of old by new items; positions over both say which item of a pair is first."""
+    both = old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
+    keyed, n = ranked(both, "key")
+    edge = options.tile or tile_edge(n, keyed.sparkSession.sparkContext.defaultParallelism)
+    last = max(0, (n - 1) // edge)
+    t, every = F.floor(F.col("pos") / edge).cast("long"), F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))
+    # an old item goes to the tiles of its row, a new one to those of its column, once for each order
+    places = F.transform(every, lambda k: F.struct(F.when(F.col("old"), t).otherwise(k).alias("t0"), F.when(F.col("old"), k).otherwise(t).alias("t1")))
+    placed = keyed.withColumn("p", F.explode(places)).withColumn("first", F.explode(F.array(F.lit(True), F.lit(False))))
+    # in tiles of the one order the old item is side 0, in those of the other side 1
+    side = (F.col("old") != F.col("first")).cast("int")
+    ti = F.col("p.t0") * 2 + F.col("first").cast("long")
+    useful = F.when(F.col("first"), F.col("p.t0") <= F.col("p.t1")).otherwise(F.col("p.t0") >= F.col("p.t1"))
+    placed = placed.where(useful).select(ti.alias("ti"), F.col("p.t1").alias("tj"), side.alias("side"), "pos", "key", "payload")
+    return _compared(app, placed, lambda pi, pj: pi[:, None] < pj[None, :], options)

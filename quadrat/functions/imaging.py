@@ -88,38 +88,64 @@ def pattern(gray: np.ndarray) -> np.ndarray:
     return wiener(zero_mean(noise(gray)))
 
 
-def cross_correlation(x: np.ndarray, y: np.ndarray, mirror: str = "hermitian") -> np.ndarray:
-    """Circular cross-correlation by conj(X) Y.
+def packed_spectrum(a: np.ndarray) -> np.ndarray:
+    """The half spectrum as one vector of real and imaginary parts in turn; made once an image, compared many times."""
+    return spectrum(a).ravel().view(np.float64)
+
+
+def correlated(fx: np.ndarray, fy: np.ndarray, w: int, mirror: str = "hermitian") -> np.ndarray:
+    """Circular cross-correlations by conj(X) Y of half spectra ... x h x (w // 2 + 1).
 
     mirror="row" completes the right half of the product from column w - j of the
     same row, as X conj(Y), instead of from the Hermitian symmetry.
     """
-    fx, fy = np.fft.fft2(x), np.fft.fft2(y)
     c = np.conj(fx) * fy
     if mirror == "row":
-        w = x.shape[1]
-        for j in range(w // 2 + 1, w):
-            c[:, j] = fx[:, w - j] * np.conj(fy[:, w - j])
-    return np.fft.ifft2(c).real
+        rest = np.conj(c[..., 1 : (w + 1) // 2][..., ::-1])
+        return np.fft.ifft2(np.concatenate([c, rest], -1)).real
+    return np.fft.irfft2(c, (c.shape[-2], w))
 
 
-def pce(x: np.ndarray, y: np.ndarray, peak: str = "max", mirror: str = "hermitian") -> float:
+def cross_correlation(x: np.ndarray, y: np.ndarray, mirror: str = "hermitian") -> np.ndarray:
+    return correlated(spectrum(x), spectrum(y), x.shape[1], mirror)
+
+
+def peak_energy(c: np.ndarray, peak: str = "max") -> float:
     """Peak to correlation energy: squared peak over the mean energy beyond the 9 x 9 around the peak.
 
     peak="max" takes the value of greatest magnitude, peak="last" the last element.
     NaN for images of at most 121 pixels, whose energy has no positive divisor.
     """
-    c = cross_correlation(x, y, mirror)
     h, w = c.shape
     if h * w <= 121:
         return float("nan")
     py, px = np.unravel_index(int(np.abs(c).argmax()), c.shape)
-    far = ~((np.abs(np.arange(h) - py) < 5)[:, None] & (np.abs(np.arange(w) - px) < 5)[None, :])
-    energy = float((c[far] ** 2).sum()) / (w * h - 121)
+    far = c * c
+    far[max(py - 4, 0) : py + 5, max(px - 4, 0) : px + 5] = 0
+    energy = float(far.sum()) / (w * h - 121)
     value = c[py, px] if peak == "max" else c[-1, -1]
     return float(value * value / energy) if energy else float("nan")
 
 
+def pce(x: np.ndarray, y: np.ndarray, peak: str = "max", mirror: str = "hermitian") -> float:
+    return peak_energy(cross_correlation(x, y, mirror), peak)
+
+
+def _halves(packed: object, h: int, w: int) -> np.ndarray:
+    return np.ascontiguousarray(packed, np.float64).view(np.complex128).reshape(-1, h, w // 2 + 1)
+
+
+def pce_block(h: int, w: int, peak: str = "max", mirror: str = "hermitian"):
+    """A block function over packed spectra."""
+
+    def block(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        fy = _halves(ys, h, w)
+        out = [[peak_energy(c, peak) for c in correlated(fx, fy[k : k + 64], w, mirror)] for fx in _halves(xs, h, w) for k in range(0, len(fy), 64)]
+        return np.array([v for row in out for v in row]).reshape(len(xs), len(ys))
+
+    return block
+
+
 def ncc_block(xs: list, ys: list) -> np.ndarray:
     """Normalised cross-correlations of all rows of two blocks; sums as they are, without 1/n."""
     a, b = np.array(xs, float), np.array(ys, float)

@@ -14,12 +14,25 @@ def rigid(points: np.ndarray, tx: float, ty: float, theta: float) -> np.ndarray:
     return points @ np.array([[c, s], [-s, c]]) + np.array([tx, ty])
 
 
+#: Distances that one step holds at a time.
+CHUNK = 1 << 21
+
+
+def _rows(a: np.ndarray, b: np.ndarray):
+    """Slices of a whose distances to b are one step."""
+    step = max(1, CHUNK // max(len(b), 1))
+    return (slice(k, k + step) for k in range(0, len(a), step))
+
+
 def gauss_transform(a: np.ndarray, b: np.ndarray, scale: float) -> tuple[float, np.ndarray]:
     """Mean of exp(-d^2 / scale^2) over all pairs of points, and its gradient by each point of a."""
-    d = a[:, None, :] - b[None, :, :]
-    e = np.exp(-(d * d).sum(2) / scale**2)
-    n = len(a) * len(b)
-    return float(e.sum() / n), -2 * (e[:, :, None] * d).sum(1) / (scale**2 * n)
+    total, g, n = 0.0, np.zeros_like(a, float), len(a) * len(b)
+    for s in _rows(a, b):
+        d = a[s, None, :] - b[None, :, :]
+        e = np.exp(-(d * d).sum(2) / scale**2)
+        total += e.sum()
+        g[s] = (e[:, :, None] * d).sum(1)
+    return float(total / n), -2 * g / (scale**2 * n)
 
 
 def cost_and_gradient(model: np.ndarray, scene: np.ndarray, p: np.ndarray, scale: float) -> tuple[float, np.ndarray]:
@@ -32,8 +45,11 @@ def cost_and_gradient(model: np.ndarray, scene: np.ndarray, p: np.ndarray, scale
 
 def exp_dist(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> float:
     """Sum of exp(-d^2 / (sigma_i + sigma_j)) over all pairs of points."""
-    d = a[:, None, :] - b[None, :, :]
-    return float(np.exp(-(d * d).sum(2) / (sa[:, None] + sb[None, :])).sum())
+    total = 0.0
+    for s in _rows(a, b):
+        d = a[s, None, :] - b[None, :, :]
+        total += np.exp(-(d * d).sum(2) / (sa[s, None] + sb[None, :])).sum()
+    return float(total)
 
 
 def bfgs(f, start: np.ndarray, tolerance: float = 1e-15, iterations: int = 500) -> np.ndarray:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..engine import Application
+from ..engine import Application, all_pairs
 from ..functions import points as P
+from ..options import Options
 
 MATCHING = T.StructType([T.StructField(c, T.DoubleType()) for c in ("score", "translate_x", "translate_y", "rotation")])
 
@@ -18,26 +20,37 @@ def rigid(x: Column, y: Column, tx: float, ty: float, theta: float) -> tuple[Col
     return x * c - y * s + tx, x * s + y * c + ty
 
 
-def _point_pairs(points: DataFrame, include_diagonal: bool) -> DataFrame:
-    a = points.select(F.col("particle").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("sigma").alias("sa"))
-    b = points.select(F.col("particle").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("sigma").alias("sb"))
-    test = F.col("i") <= F.col("j") if include_diagonal else F.col("i") < F.col("j")
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(b, test).withColumns({"dx": dx, "dy": dy, "d2": dx * dx + dy * dy})
+COST = T.StructType([T.StructField(c, T.DoubleType()) for c in ("cost", "gx", "gy", "gtheta")])
 
 
-def gauss_costs(points: DataFrame, scale: float = 1.0, include_diagonal: bool = True) -> DataFrame:
-    """(i, j, cost, gx, gy): the Gauss transform and its gradient by a translation of i."""
-    s2 = scale * scale
-    e = F.exp(-F.col("d2") / s2)
-    rows = _point_pairs(points, include_diagonal).withColumn("e", e).groupBy("i", "j")
-    n = F.count("*")
-    return rows.agg((F.sum("e") / n).alias("cost"), (F.sum(-2 * F.col("e") * F.col("dx")) / (n * s2)).alias("gx"), (F.sum(-2 * F.col("e") * F.col("dy")) / (n * s2)).alias("gy"))
+def decode_points(payloads: pa.Array) -> list[np.ndarray | None]:
+    """Each cloud as an n x 3 matrix of x, y and sigma."""
+    off = payloads.offsets.to_numpy()
+    flat = payloads.values
+    xyz = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "sigma")], 1)
+    return [xyz[off[k] : off[k + 1]] if valid else None for k, valid in enumerate(payloads.is_valid().to_pylist())]
+
+
+def gauss_application(scale: float = 1.0, move: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> Application:
+    """The Gauss transform of cloud i, moved by (tx, ty, theta), with cloud j, and its gradient by the move."""
+
+    def pair(a: np.ndarray, b: np.ndarray) -> dict:
+        cost, g = P.cost_and_gradient(a[:, :2], b[:, :2], np.array(move), scale)
+        return dict(zip(COST.names, (cost, *map(float, g))))
+
+    return Application(key="particle", prep=clouds, pair=pair, decode=decode_points, result=COST)
+
+
+def gauss_costs(points: DataFrame, scale: float = 1.0, include_diagonal: bool = True, move: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """(i, j, cost, gx, gy, gtheta) of all pairs of clouds. A cloud is one payload, so no point crosses the network more than once a tile."""
+    out = all_pairs(gauss_application(scale, move), points, Options(include_diagonal=include_diagonal))
+    return out.select("i", "j", "result.*")
 
 
 def exp_dists(points: DataFrame, include_diagonal: bool = True) -> DataFrame:
     """(i, j, score): sums of exp(-d^2 / (sigma_i + sigma_j))."""
-    return _point_pairs(points, include_diagonal).groupBy("i", "j").agg(F.sum(F.exp(-F.col("d2") / (F.col("sa") + F.col("sb")))).alias("score"))
+    app = Application(key="particle", prep=clouds, pair=lambda a, b: P.exp_dist(a[:, :2], b[:, :2], a[:, 2], b[:, 2]), decode=decode_points)
+    return all_pairs(app, points, Options(include_diagonal=include_diagonal)).select("i", "j", F.col("result").alias("score"))
 
 
 def clouds(points: DataFrame) -> DataFrame:
@@ -48,22 +61,19 @@ def clouds(points: DataFrame) -> DataFrame:
 def registration(scale: float = 1.0, tolerance: float = 1e-15, iterations: int = 500) -> Application:
     """Fit each item i, the model, to each later item j, the scene; the result isn't symmetric."""
 
-    def pair(model: list, scene: list) -> dict:
-        m, s = (np.array([[p["x"], p["y"], p["sigma"]] for p in c], float).reshape(-1, 3) for c in (model, scene))
+    def pair(m: np.ndarray, s: np.ndarray) -> dict:
         if not len(m) or not len(s):
             raise ValueError("a cloud without points")
         return dict(zip(MATCHING.names, P.register(m[:, :2], s[:, :2], m[:, 2], s[:, 2], scale, tolerance, iterations)))
 
-    return Application(key="particle", prep=clouds, pair=pair, result=MATCHING)
+    return Application(key="particle", prep=clouds, pair=pair, decode=decode_points, result=MATCHING)
 
 
 def resample_weights(points: DataFrame, factor: float = 2.0, bins: int = 100) -> DataFrame:
     """points with a weight: the smoothed number of points around each in its particle's grid."""
     schema = T.StructType([*points.schema.fields, T.StructField("weight", T.DoubleType())])
 
-    def run(table):
-        import pyarrow as pa
-
+    def run(table: pa.Table) -> pa.Table:
         xy = np.stack([table["x"].to_numpy(), table["y"].to_numpy()], 1)
         return table.append_column("weight", pa.array(P.density_weights(xy, factor, bins)))
 

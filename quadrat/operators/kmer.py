@@ -6,6 +6,7 @@ A window never spans a character outside the alphabet. k-mers are integers, base
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -91,17 +92,85 @@ def packed(docs: DataFrame, doc: str, vecs: DataFrame) -> DataFrame:
     return docs.select(F.col(doc).alias("doc")).join(v, "doc", "left").select("doc", F.coalesce("payload", F.array().cast("array<struct<code: bigint, val: double>>")).alias("payload"))
 
 
-def cosine_block(xs: list, ys: list) -> np.ndarray:
-    """Dot products of all pairs of two blocks of sparse vectors, by one dense product over their codes."""
-    codes = np.unique([e["code"] for v in (*xs, *ys) for e in v])
-    dense = []
-    for vs in (xs, ys):
-        m = np.zeros((len(vs), len(codes)))
-        row = np.repeat(np.arange(len(vs)), [len(v) for v in vs])
-        if len(row):
-            m[row, np.searchsorted(codes, [e["code"] for v in vs for e in v])] = [e["val"] for v in vs for e in v]
-        dense.append(m)
-    return dense[0] @ dense[1].T
+@dataclass
+class Sparse:
+    """Sparse vectors as one array of codes, ascending within a vector, and one of values."""
+
+    offsets: np.ndarray
+    codes: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def __getitem__(self, s: slice) -> Sparse:
+        lo, hi, _ = s.indices(len(self))
+        off = self.offsets[lo : hi + 1]
+        return Sparse(off - off[0], self.codes[off[0] : off[-1]], self.values[off[0] : off[-1]])
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.offsets))
+
+
+def decode_sparse(payloads: pa.Array) -> Sparse:
+    off = payloads.offsets.to_numpy().astype(np.int64)
+    flat = payloads.values.slice(off[0], off[-1] - off[0])
+    return Sparse(off - off[0], flat.field("code").to_numpy(zero_copy_only=False), flat.field("val").to_numpy(zero_copy_only=False))
+
+
+#: Cells of the dense part of a code block, and products of the sparse part held at a time.
+CELLS, PRODUCTS = 1 << 22, 1 << 22
+
+
+def cosine_block(xs: Sparse, ys: Sparse) -> np.ndarray:
+    """Dot products of all pairs of two blocks of sparse vectors.
+
+    Only codes that both blocks have count. Those that many vectors have are
+    multiplied as dense matrices of a bounded number of codes, the others as a join of the
+    vectors that have them, so memory follows neither the number of codes nor of products.
+    """
+    out = np.zeros(len(xs) * len(ys))
+    both = np.intersect1d(xs.codes, ys.codes)
+    sides = []
+    for v in (xs, ys):
+        at = np.minimum(np.searchsorted(both, v.codes), max(len(both) - 1, 0))
+        have = np.flatnonzero(both[at] == v.codes) if len(both) else np.empty(0, np.int64)
+        order = have[np.argsort(at[have], kind="stable")]
+        sides.append((at[order], v.rows()[order], v.values[order], np.bincount(at[order], minlength=len(both))))
+    (cx, rx, vx, nx), (cy, ry, vy, ny) = sides
+    if not len(both):
+        return out.reshape(len(xs), len(ys))
+    often = nx * ny * 32 > len(out)
+    dense, step = np.flatnonzero(often), max(1, CELLS // max(len(xs), len(ys)))
+    for k in range(0, len(dense), step):
+        part, place = dense[k : k + step], np.full(len(both), -1)
+        place[part] = np.arange(len(part))
+        m = []
+        for c, r, v, n in ((cx, rx, vx, len(xs)), (cy, ry, vy, len(ys))):
+            x, mine = np.zeros((n, len(part))), place[c] >= 0
+            x[r[mine], place[c[mine]]] = v[mine]
+            m.append(x)
+        out += (m[0] @ m[1].T).ravel()
+    sy = np.cumsum(ny) - ny
+    left = np.flatnonzero(~often[cx])  # each entry of xs meets the entries of ys with its code
+    many = ny[cx[left]]
+    ends = np.cumsum(many)
+    for a, b in _runs(ends, PRODUCTS):
+        i, n = left[a:b], many[a:b]
+        j = np.repeat(sy[cx[i]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        i = np.repeat(i, n)
+        out += np.bincount(rx[i] * len(ys) + ry[j], vx[i] * vy[j], len(out))
+    return out.reshape(len(xs), len(ys))
+
+
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of entries whose numbers, given by their running sums, come to about `most`."""
+    a = 0
+    while a < len(ends):
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield a, b
+        a = b
 
 
 def sparse_dots(vecs: DataFrame, include_diagonal: bool = True) -> DataFrame:
@@ -117,3 +186,10 @@ def size_report(docs: DataFrame, doc: str, seq: str, vecs: DataFrame) -> DataFra
     chars = docs.agg(F.max(F.struct(F.length(seq).cast("long").alias("m"), (-F.col(doc)).alias("d"))).alias("x"))
     entries = vecs.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", (-F.col("doc")).alias("d"))).alias("y"))
     return chars.crossJoin(entries).select(F.col("x.m").alias("max_chars"), (-F.col("x.d")).alias("max_chars_doc"), F.col("y.n").alias("max_entries"), (-F.col("y.d")).alias("max_entries_doc"))
+
+
+def checked(vecs: DataFrame, most: int) -> DataFrame:
+    """The vectors, sorted by document and code; fails on one of more than `most` entries, naming it."""
+    n = F.count("*").over(W.partitionBy("doc"))
+    wrong = F.raise_error(F.concat(F.lit("vector of "), F.col("doc").cast("string"), F.lit(f" has more than {most} entries"))).cast("double")
+    return vecs.withColumn("val", F.when(n <= most, F.col("val")).otherwise(wrong)).orderBy("doc", "code")

@@ -36,7 +36,7 @@ def positions(items: DataFrame, *keys: str, pos: str = "pos") -> DataFrame:
 def triangle_size(n: Column, include_diagonal: bool = False) -> Column:
     """Number of unordered pairs of n items, in 64 bits."""
     n = n.cast("long")
-    return (n * (n + F.lit(1 if include_diagonal else -1)) / F.lit(2)).cast("long")
+    return F.shiftright(n * (n + F.lit(1 if include_diagonal else -1)), 1)
 
 
 def rectangle_size(left: Column, rows: Column, right: Column, cols: Column, include_diagonal: bool = False) -> Column:
@@ -46,11 +46,11 @@ def rectangle_size(left: Column, rows: Column, right: Column, cols: Column, incl
     def below(a: Column, b: Column) -> Column:
         """Pairs with i < a and j < b on or above the shifted diagonal: sum over i of max(0, b - i - shift)."""
         m = F.greatest(F.least(a, b - shift), F.lit(0))
-        return m * (b - shift) - m * (m - 1) / 2
+        return m * (b - shift) - F.shiftright(m * (m - 1), 1)
 
     left, rows, right, cols = (c.cast("long") for c in (left, rows, right, cols))
     whole = below(left + rows, right + cols) - below(left + rows, right) - below(left, right + cols) + below(left, right)
-    return whole.cast("long")
+    return whole
 
 
 def theta_pairs(items: DataFrame, include_diagonal: bool = False, pos: str = "pos") -> DataFrame:

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Options:
     """strategy: "tile" compares blocks of items in vectorised Arrow functions,
-    "theta" evaluates a column expression over a theta join, "auto" takes theta
-    for an expression and tile for a function.
+    or, if there is only a column expression, joins them by tile; "theta"
+    evaluates an expression over a theta join; "auto" takes theta for an expression
+    and few items, otherwise tile.
 
     tile: items along the side of a tile; None sizes it by items and cores.
     include_diagonal: whether each item is also paired with itself.

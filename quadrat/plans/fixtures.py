@@ -23,7 +23,7 @@ def pixels(spark: SparkSession, sf_dir: str, images: int | None = None) -> DataF
     y = (F.col("vec_id") % 16 * 2 + F.expr("k div 32")).cast("int")
     px = e.select("img", y.alias("y"), (F.col("k") % 32).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
     whole = table(spark, "embeddings", sf_dir).groupBy(F.expr("vec_id div 16").alias("img")).count().where("count = 16").select("img")
-    px = px.join(F.broadcast(whole), "img", "left_semi")
+    px = px.join(whole, "img", "left_semi")
     return px if images is None else px.where(F.col("img") < images)
 
 

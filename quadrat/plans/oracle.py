@@ -168,17 +168,56 @@ SQL["img_xcorr"] = _image(_xcorr(4), f"SELECT i, j, dy, dx, {r6('v')} AS v FROM
 SQL["img_pce"] = _image(_xcorr(6) + ", pk AS (SELECT i, j, arg_max(dy, abs(v)) AS py, arg_max(dx, abs(v)) AS px, arg_max(v, abs(v)) AS peak FROM cc GROUP BY 1, 2)", f"""
 SELECT i, j, {r6('any_value(peak * peak) / (sum(v * v) FILTER (NOT (abs(dy - py) < 5 AND abs(dx - px) < 5)) / (1024 - 121))')} AS pce FROM cc JOIN pk USING (i, j) GROUP BY 1, 2""")
 
+_COMPAT = f"""{_dft('px')},
+c AS (SELECT a.img AS i, b.img AS j, ky, kx, a.re * b.re + a.im * b.im AS re, a.re * b.im - a.im * b.re AS im FROM f a JOIN f b USING (ky, kx) WHERE a.img < b.img AND b.img < 6 AND kx <= 16),
+s1 AS (SELECT i, j, kx, k AS dy, sum(re * cos(2 * pi() * k * ky / 32) - im * sin(2 * pi() * k * ky / 32)) AS re, sum(re * sin(2 * pi() * k * ky / 32) + im * cos(2 * pi() * k * ky / 32)) AS im FROM c, ks GROUP BY 1, 2, 3, 4),
+s2 AS (SELECT i, j, dy, k AS dx, re * cos(2 * pi() * k * kx / 32) - im * sin(2 * pi() * k * kx / 32) AS v, kx BETWEEN 1 AND 15 AS twice FROM s1, ks),
+s3 AS (SELECT i, j, dy, dx, sum(v) AS a, sum(CASE WHEN twice THEN v ELSE 0 END) AS b FROM s2 GROUP BY 1, 2, 3, 4),
+cc AS (SELECT p.i, p.j, p.dy, p.dx, (p.a + q.b) / 1024 AS v FROM s3 p JOIN s3 q ON p.i = q.i AND p.j = q.j AND p.dx = q.dx AND q.dy = (32 - p.dy) % 32)"""
+SQL["img_pce_compat"] = _image(_COMPAT + ", pk AS (SELECT i, j, arg_max(dy, abs(v)) AS py, arg_max(dx, abs(v)) AS px, max(CASE WHEN dy = 31 AND dx = 31 THEN v END) AS peak FROM cc GROUP BY 1, 2)", f"""
+SELECT i, j, {r6('any_value(peak * peak) / (sum(v * v) FILTER (NOT (abs(dy - py) < 5 AND abs(dx - px) < 5)) / (1024 - 121))')} AS pce FROM cc JOIN pk USING (i, j) GROUP BY 1, 2""")
+
 # -- point clouds
 
 _POINTS = """pts AS (SELECT user_id AS particle, value / 100 AS x, (extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts))) / 20000.0 AS y,
 regexp_extract(props, '([0-9]+)', 1)::DOUBLE / 100 + 0.1 AS sigma FROM events)"""
-_POINT_PAIRS = "pp AS (SELECT a.particle AS i, b.particle AS j, a.x - b.x AS dx, a.y - b.y AS dy, a.sigma + b.sigma AS s FROM pts a JOIN pts b ON a.particle <= b.particle AND b.particle < 12)"
+_POINT_PAIRS = "pp AS (SELECT a.particle AS i, b.particle AS j, a.x AS ax, a.y AS ay, a.x - b.x AS dx, a.y - b.y AS dy, a.sigma + b.sigma AS s FROM pts a JOIN pts b ON a.particle <= b.particle AND b.particle < 12)"
 SQL["pts_rigid"] = f"WITH {_POINTS} SELECT particle, {r6('x * cos(0.5) - y * sin(0.5) + 1')} AS x, {r6('x * sin(0.5) + y * cos(0.5) + 2')} AS y FROM pts"
 _E = "exp(-(dx * dx + dy * dy) / 1.69)"
 SQL["pts_gauss_cost"] = f"""WITH {_POINTS}, {_POINT_PAIRS} SELECT i, j, {r6(f'avg({_E})')} AS cost,
-{r6(f'avg(-2 * {_E} * dx) / 1.69')} AS gx, {r6(f'avg(-2 * {_E} * dy) / 1.69')} AS gy FROM pp GROUP BY 1, 2"""
+{r6(f'avg(-2 * {_E} * dx) / 1.69')} AS gx, {r6(f'avg(-2 * {_E} * dy) / 1.69')} AS gy, {r6(f'avg(-2 * {_E} * (dy * ax - dx * ay)) / 1.69')} AS gtheta FROM pp GROUP BY 1, 2"""
 SQL["pts_expdist"] = f"WITH {_POINTS}, {_POINT_PAIRS} SELECT i, j, {r6('sum(exp(-(dx * dx + dy * dy) / s))')} AS score FROM pp GROUP BY 1, 2"
 
+SQL["pts_resample_weights"] = f"""WITH {_POINTS},
+span AS (SELECT particle, min(x) AS x0, CASE WHEN max(x) > min(x) THEN max(x) - min(x) ELSE 1 END AS sx, min(y) AS y0, CASE WHEN max(y) > min(y) THEN max(y) - min(y) ELSE 1 END AS sy FROM pts GROUP BY 1),
+placed AS (SELECT particle, x, y, least(floor((x - x0) / sx * 100), 99) AS u, least(floor((y - y0) / sy * 100), 99) AS v FROM pts JOIN span USING (particle)),
+bins AS (SELECT particle, u, v, count(*) AS n FROM placed GROUP BY 1, 2, 3),
+w AS (SELECT a.particle, a.u, a.v, sum(b.n * exp(-0.5 * ((a.u - b.u) / 2) ** 2) * exp(-0.5 * ((a.v - b.v) / 2) ** 2)) AS weight
+      FROM bins a JOIN bins b ON a.particle = b.particle AND abs(a.u - b.u) <= 7 AND abs(a.v - b.v) <= 7 GROUP BY 1, 2, 3)
+SELECT particle, {r6('x')} AS x, {r6('y')} AS y, {r6('weight')} AS weight FROM placed JOIN w USING (particle, u, v)"""
+
+# -- clusters
+
+
+def _clusters(test: str) -> str:
+    """w: the clusters after each step that joins the most similar two, as long as their similarity passes the test."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 60),
+base AS (SELECT a.pos AS x, b.pos AS y, {r6(_DOT)} AS c FROM v a JOIN v b ON a.pos <> b.pos),
+w AS (
+  SELECT 0 AS step, NULL::BIGINT AS n1, NULL::BIGINT AS n2, NULL::DOUBLE AS sim, NULL::BIGINT AS size, pos AS slot, pos AS id, [pos] AS members FROM v
+  UNION ALL
+  SELECT w.step + 1, l.id, r.id, best.sim, len(l.members) + len(r.members), w.slot,
+         CASE WHEN w.slot = l.slot THEN (SELECT count(*) FROM v) + w.step ELSE w.id END, CASE WHEN w.slot = l.slot THEN list_concat(l.members, r.members) ELSE w.members END
+  FROM w, (SELECT a.slot AS sa, b.slot AS sb, avg(c) AS sim FROM (SELECT slot, unnest(members) AS x FROM w) a JOIN (SELECT slot, unnest(members) AS y FROM w) b ON a.slot < b.slot JOIN base USING (x, y) GROUP BY 1, 2 ORDER BY sim DESC, sa, sb LIMIT 1) best
+  JOIN w l ON l.slot = best.sa JOIN w r ON r.slot = best.sb
+  WHERE w.slot <> r.slot AND best.sim {test})"""
+
+
+SQL["cluster_linkage"] = f"{_clusters('> 0')} SELECT DISTINCT (step - 1)::BIGINT AS step, n1, n2, {r6('sim')} AS sim, size FROM w WHERE step > 0"
+SQL["cluster_flat"] = f"""{_clusters('>= 0.3')}, last AS (SELECT slot, unnest(members) AS pos FROM w WHERE step = (SELECT max(step) FROM w)),
+low AS (SELECT slot, dense_rank() OVER (ORDER BY min(pos)) AS label FROM last GROUP BY 1)
+SELECT vec_id::BIGINT AS item, label::BIGINT AS label FROM last JOIN low USING (slot) JOIN v USING (pos)"""
+
 # -- signals and metrics
 
 _SAMPLES = """d AS (SELECT user_id % 8 AS station, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS channel, event_id, value / 500 AS v, regexp_extract(props, '([0-9]+)', 1)::DOUBLE / 100 AS k FROM events),

@@ -219,7 +219,7 @@ def cv_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cv_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of the first 300 documents, zeros and the diagonal included."""
-    app = engine.Application(key="doc", prep=lambda d: kmer.packed(d, "doc_id", kmer.vectors(d, "doc_id", "seq", 3)), block=kmer.cosine_block)
+    app = engine.Application(key="doc", prep=lambda d: kmer.packed(d, "doc_id", kmer.vectors(d, "doc_id", "seq", 3)), block=kmer.cosine_block, decode=kmer.decode_sparse)
     return _scores(engine.all_pairs(app, _docs(spark, sf_dir, 300), INCLUSIVE), "cosine")
 
 
@@ -283,26 +283,28 @@ def img_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("img", "ky", "kx").agg(r6(F.max(F.when(F.col("part") == 0, F.col("v")))).alias("re"), r6(F.max(F.when(F.col("part") == 1, F.col("v")))).alias("im"))
 
 
-def _image_app(pair: Callable, result: T.DataType = T.DoubleType()) -> engine.Application:
-    square = lambda p: np.array(p, float).reshape(X.SIDE, X.SIDE)
-    return engine.Application(key="img", pair=lambda a, b: pair(square(a), square(b)), result=result)
+def _spectra(img: DataFrame) -> DataFrame:
+    return img.select("img", X.kernel(I.packed_spectrum)("payload").alias("payload"))
 
 
 @query
 def img_xcorr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    app = _image_app(lambda a, b: I.cross_correlation(a, b).ravel().tolist(), T.ArrayType(T.DoubleType()))
+    half = lambda p: I._halves(p, X.SIDE, X.SIDE)[0]
+    app = engine.Application(key="img", prep=_spectra, pair=lambda a, b: I.correlated(half(a), half(b), X.SIDE).ravel().tolist(), result=T.ArrayType(T.DoubleType()))
     c = engine.all_pairs(app, X.images(spark, sf_dir, 4)).select("i", "j", F.posexplode("result").alias("k", "v"))
     return c.select("i", "j", F.expr("k div 32").cast("int").alias("dy"), (F.col("k") % 32).cast("int").alias("dx"), r6("v").alias("v"))
 
 
 @query
 def img_pce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(engine.all_pairs(_image_app(I.pce), X.images(spark, sf_dir, 6)), "pce")
+    app = engine.Application(key="img", prep=_spectra, block=I.pce_block(X.SIDE, X.SIDE))
+    return _scores(engine.all_pairs(app, X.images(spark, sf_dir, 6)), "pce")
 
 
 @query
 def img_pce_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(engine.all_pairs(_image_app(lambda a, b: I.pce(a, b, "last", "row")), X.images(spark, sf_dir, 6)), "pce")
+    app = engine.Application(key="img", prep=_spectra, block=I.pce_block(X.SIDE, X.SIDE, "last", "row"))
+    return _scores(engine.all_pairs(app, X.images(spark, sf_dir, 6)), "pce")
 
 
 # -- point clouds
@@ -317,7 +319,7 @@ def pts_rigid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pts_gauss_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clouds.gauss_costs(X.cloud_points(spark, sf_dir, 12), 1.3).select("i", "j", *[r6(c).alias(c) for c in ("cost", "gx", "gy")])
+    return clouds.gauss_costs(X.cloud_points(spark, sf_dir, 12), 1.3).select("i", "j", *[r6(c).alias(c) for c in ("cost", "gx", "gy", "gtheta")])
 
 
 @query

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import opened
+
 SUFFIXES = "*.{faa,fasta,faa.gz,fasta.gz}"
 
 
@@ -37,7 +39,7 @@ def read_fasta(spark: SparkSession, folder: str, pattern: str = SUFFIXES, strict
     With strict, an invalid file fails the query when its row is read; otherwise
     its seq is null and error says why.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(opened(spark, folder)).select("path", "content")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -56,6 +56,34 @@ def test_pce_tells_a_shifted_copy():
     assert c[2, 3] == pytest.approx((a * np.roll(b, (-2, -3), (0, 1))).sum())
 
 
+@pytest.mark.parametrize("shape", [(16, 18), (15, 13), (32, 32)])
+@pytest.mark.parametrize("mirror", ["hermitian", "row"])
+def test_packed_spectra_give_the_same_as_whole_transforms(shape, mirror):
+    h, w = shape
+    a = RNG.normal(size=(5, h, w))
+    packed = np.stack([I.packed_spectrum(x) for x in a])
+    got = I.pce_block(h, w, "last" if mirror == "row" else "max", mirror)(packed[:3], packed)
+    for i in range(3):
+        for j in range(5):
+            c = np.conj(np.fft.fft2(a[i])) * np.fft.fft2(a[j])
+            if mirror == "row":
+                for k in range(w // 2 + 1, w):
+                    c[:, k] = np.conj(c[:, w - k])
+            v = np.fft.ifft2(c).real
+            y, x = np.unravel_index(np.abs(v).argmax(), v.shape)
+            near = (np.abs(np.arange(h) - y) < 5)[:, None] & (np.abs(np.arange(w) - x) < 5)[None, :]
+            value = v[-1, -1] if mirror == "row" else v[y, x]
+            assert got[i, j] == pytest.approx(value**2 / ((v[~near] ** 2).sum() / (h * w - 121)))
+
+
+def test_kernels_in_steps(monkeypatch):
+    a, b, s = RNG.random((30, 2)), RNG.random((20, 2)), RNG.random(30) + 0.1
+    whole = P.gauss_transform(a, b, 0.7), P.exp_dist(a, b, s, s[:20])
+    monkeypatch.setattr(P, "CHUNK", 50)
+    steps = P.gauss_transform(a, b, 0.7), P.exp_dist(a, b, s, s[:20])
+    assert whole[0][0] == pytest.approx(steps[0][0]) and np.allclose(whole[0][1], steps[0][1]) and whole[1] == pytest.approx(steps[1])
+
+
 def test_ncc_of_centred_rows_is_the_cosine():
     a = RNG.normal(size=(4, 30))
     a -= a.mean(1, keepdims=True)

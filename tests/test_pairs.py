@@ -33,9 +33,9 @@ def test_positions_are_dense_and_ordered(spark):
 
 
 def test_closed_forms(spark):
-    n = spark.createDataFrame([(0,), (1,), (46341,), (10**9,)], "n long")
+    n = spark.createDataFrame([(0,), (1,), (46341,), (10**9,), (3 * 10**9,)], "n long")
     got = n.select(P.triangle_size(F.col("n")).alias("s"), P.triangle_size(F.col("n"), True).alias("d")).collect()
-    assert [tuple(r) for r in got] == [(m * (m - 1) // 2, m * (m + 1) // 2) for m in (0, 1, 46341, 10**9)]
+    assert [tuple(r) for r in got] == [(m * (m - 1) // 2, m * (m + 1) // 2) for m in (0, 1, 46341, 10**9, 3 * 10**9)]
     cases = [(a, b, c, d) for a in (0, 2, 5) for b in (0, 1, 4) for c in (0, 2, 6) for d in (0, 3)]
     df = spark.createDataFrame(cases, "a long, b long, c long, d long")
     for diagonal in (False, True):
@@ -63,6 +63,33 @@ def test_strategies_agree(spark, options):
         assert abs(r - v[i] @ v[j]) < 1e-12
 
 
+@pytest.mark.parametrize("options", [Options(strategy="tile", tile=3), Options(strategy="tile"), Options()])
+def test_expressions_by_tile(spark, options, monkeypatch):
+    monkeypatch.setattr(engine, "THETA_ITEMS", 5)
+    items = spark.createDataFrame([(k, float(k)) for k in range(11)], "k long, payload double")
+    app = engine.Application(key="k", expression=lambda a, b: a - 2 * b)
+    out = engine.all_pairs(app, items, options)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.i, r.j): (r.result, r.error) for r in out.collect()} == {(i, j): (float(i - 2 * j), None) for i in range(11) for j in range(i + 1, 11)}
+    with pytest.raises(ValueError, match="expression"):
+        engine.all_pairs(engine.Application(key="k", pair=lambda a, b: a), items, Options(strategy="theta"))
+
+
+@pytest.mark.parametrize("kind", ["expression", "pair", "block"])
+@pytest.mark.parametrize("tile", [1, 3, None])
+def test_arrivals_are_compared_as_in_a_batch(spark, kind, tile):
+    """A comparison that isn't symmetric, with arrivals on both sides of the old keys."""
+    f = {"expression": lambda a, b: a - 2 * b, "pair": lambda a, b: a - 2 * b, "block": lambda x, y: np.subtract.outer(np.array(x), 2 * np.array(y))}[kind]
+    app = engine.Application(key="k", **{kind: f})
+    rows = [(k, float(k * k)) for k in (3, 8, 1, 9, 5, 7, 2)]
+    df = lambda r: spark.createDataFrame(r, "k long, payload double")
+    want = {tuple(r)[:3] for r in engine.all_pairs(app, df(rows)).collect()}
+    old = {tuple(r)[:3] for r in engine.all_pairs(app, df(rows[:4])).collect()}
+    parts = engine.new_pairs(app, df(rows[:4]), df(rows[4:]), Options(tile=tile))
+    got = [tuple(r)[:3] for p in parts for r in p.collect()]
+    assert len(got) == len(set(got)) == 21 - 6 and old | set(got) == want
+
+
 def test_failed_pairs_have_a_null_result_and_an_error(spark):
     items = spark.createDataFrame([(0, [1.0]), (1, None), (2, [3.0])], "k long, payload array<double>")
     app = engine.Application(key="k", pair=lambda a, b: a[0] * b[0])

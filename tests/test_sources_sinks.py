@@ -110,8 +110,11 @@ def test_particles_and_registration(spark, tmp_path):
 def test_inputs_of_several_files(spark, tmp_path):
     (tmp_path / "p").write_bytes(b"1")
     (tmp_path / "q").write_bytes(b"2")
-    keys = spark.createDataFrame([("k", ["q", "p"])], "key string, names array<string>")
-    assert [bytes(x) for x in files.read_with_inputs(spark, keys, str(tmp_path)).first().inputs] == [b"2", b"1"]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "p").write_bytes(b"3")
+    keys = spark.createDataFrame([("k", ["q", "p"]), ("l", ["sub/p", "p"])], "key string, names array<string>")
+    got = {r.key: [bytes(x) for x in r.inputs] for r in files.read_with_inputs(spark, keys, str(tmp_path)).collect()}
+    assert got == {"k": [b"2", b"1"], "l": [b"3", b"1"]}
 
 
 def _pairs(spark):
@@ -123,11 +126,98 @@ def test_matrix_sinks(spark, tmp_path):
     m = sinks.symmetric(_pairs(spark).where("c is not null"), keys).unionByName(spark.createDataFrame([("a", "c", 0.0), ("c", "a", 0.0)], "i string, j string, c double"))
     lines = [r.line for r in sinks.matrix_lines(m).orderBy("row").collect()]
     assert lines[0] == "0.000000, 0.500000, 0.000000, "
-    sinks.write_matrix_binary(m, str(tmp_path / "m.bin"))
-    assert np.array_equal(np.fromfile(tmp_path / "m.bin", ">f8").reshape(3, 3), [[0, 0.5, 0], [0.5, 0, -0.25], [0, -0.25, 0]])
+    parts = sinks.write_matrix_binary(m, str(tmp_path / "m"))
+    data = b"".join((tmp_path / "m" / x).read_bytes() for x in parts)
+    assert np.array_equal(np.frombuffer(data, ">f8").reshape(3, 3), [[0, 0.5, 0], [0.5, 0, -0.25], [0, -0.25, 0]])
+    sinks.write_matrix_text(m, str(tmp_path / "t"))
+    assert _text(tmp_path / "t") == [*lines, ""]
     assert sorted(r.line for r in sinks.edge_lines(_pairs(spark)).collect()) == ["b a 0.500000", "c b -0.250000"]
     d = json.loads(sinks.distance_json(_pairs(spark), keys).first().value)
     assert d == {"files": ["a", "b", "c"], "distance": [[-1.0, 0.5, -1.0], [0.5, -1.0, -0.25], [-1.0, -0.25, -1.0]]}
+    for n, k in enumerate((keys, keys.select(F.concat(F.lit('q"'), "k").alias("k")))):
+        parts = sinks.write_distance_json(_pairs(spark), k, str(tmp_path / f"d{n}"))
+        e = json.loads("".join((tmp_path / f"d{n}" / x).read_text() for x in parts))
+        assert e["files"] == [('q"' if n else "") + x for x in "abc"] and (n or e["distance"] == d["distance"])
+
+
+def _text(folder):
+    return [line for p in sorted(folder.glob("part-*")) for line in p.read_text().splitlines()]
+
+
+def test_float_arrays_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a", [1.5, -2.0]), ("b", []), ("c", None)], "name string, values array<float>")
+    assert sinks.write_float_arrays(df, str(tmp_path / "f")) == ["a.dat", "b.dat"]
+    assert (tmp_path / "f" / "a.dat").read_bytes() == np.array([1.5, -2.0], ">f4").tobytes()
+    assert {r.name: r["values"] for r in files.read_float_arrays(spark, str(tmp_path / "f")).collect()} == {"a.dat": [1.5, -2.0]}
+
+
+def test_flat_cluster_text(spark, tmp_path):
+    p = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.1), (1, 2, 0.2)], "i long, j long, c double")
+    sinks.write_flat_clusters(linkage.flat_lines(p, 0.5), str(tmp_path / "c"))
+    assert _text(tmp_path / "c") == ["flat clustering:", "2=[2]", "3=[0, 1]", "", "labels:", "[2 2 1 ]", ""]
+    sinks.write_linkage(linkage.linkage_table(p), str(tmp_path / "l"))
+    assert _text(tmp_path / "l") == ["[0,1,0.900000,2]", "[3,2,0.150000,3]", ""]
+    grouped = p.withColumn("g", F.lit("x")).unionByName(p.withColumns({"g": F.lit("y"), "c": -F.col("c")}))
+    assert {(r.g, r.step) for r in linkage.linkage_table(grouped, group="g").collect()} == {("x", 0), ("x", 1)}
+    assert {(r.g, r.item, r.label) for r in linkage.flat_table(grouped, 0.5, group="g").collect()} == {("x", 0, 1), ("x", 1, 1), ("x", 2, 2), ("y", 0, 1), ("y", 1, 2), ("y", 2, 3)}
+
+
+def test_symbolic_links(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "a.faa").write_text(">x\nAC")
+    (tmp_path / "link").symlink_to(tmp_path / "data")
+    (tmp_path / "data" / "b.faa").symlink_to(tmp_path / "data" / "a.faa")
+    assert files.link_target(str(tmp_path / "link")) == str(tmp_path / "data") and files.link_target(str(tmp_path / "data")) is None
+    assert files.resolve(str(tmp_path / "link")) == str(tmp_path / "data") == files.resolve(f"file://{tmp_path}/link")
+    assert files.resolve("s3a://b/x") == "s3a://b/x"
+    assert [r.seq for r in fasta.read_fasta(spark, str(tmp_path / "link")).collect()] == ["\nAC"] * 2
+    assert [(r.name, r.length) for r in files.listing(spark, str(tmp_path / "link")).collect()] == [("a.faa", 5), ("b.faa", 5)]
+
+
+def test_credentials_are_set_where_a_key_is_opened(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"hosts": {"h": {"url": "http://u", "accessKey": "k", "secretKey": "s"}}}))
+    assert files.opened(spark, f"s3:{tmp_path}/c.json:h/bucket/x") == "s3a://bucket/x"
+    assert spark._jsc.hadoopConfiguration().get("fs.s3a.access.key") == "k"
+    with pytest.raises(ValueError, match="no host"):
+        files.opened(spark, f"s3:{tmp_path}/c.json:other/bucket/x")
+
+
+def test_command_line_on_sequences(spark, tmp_path, capsys):
+    from quadrat import __main__ as cli
+
+    for name, seq in (("a.faa", "ACDEFGHIKACDEFG"), ("b.faa", "ACDEFGHIKACDEFGH"), ("c.faa", "KLMNPQRSTVWYKLM")):
+        (tmp_path / name).write_text(f">x\n{seq}")
+    a = cli.parser().parse_args(["g", str(tmp_path), str(tmp_path / "out"), "--k", "3", "--progress", "0.2", "--profile-file", str(tmp_path / "profile"), "--profile-ops", "pairs", "--most-entries", "50"])
+    cli.genetics(spark, a)
+    d = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out" / "distances").glob("part-*"))))
+    assert d["files"] == ["a.faa", "b.faa", "c.faa"] and d["distance"][0][1] < d["distance"][0][2] and abs(d["distance"][1][1]) < 1e-9
+    assert "100.0% of 6 pairs" in capsys.readouterr().out
+    assert "all pairs" in spark.read.csv(str(tmp_path / "profile"), sep="\t").first()[2]
+
+
+def test_size_check(spark):
+    v = spark.createDataFrame([("a", 2, 0.5), ("a", 1, 0.5), ("b", 1, 1.0)], "doc string, code long, val double")
+    assert [(r.doc, r.code) for r in kmer.checked(v, 2).collect()] == [("a", 1), ("a", 2), ("b", 1)]
+    with pytest.raises(Exception, match="vector of a"):
+        kmer.checked(v, 1).collect()
+
+
+@pytest.mark.parametrize("cells", [kmer.CELLS, 8])
+def test_sparse_blocks_against_dense(monkeypatch, cells):
+    """Common and rare codes, in one or many steps."""
+    monkeypatch.setattr(kmer, "CELLS", cells)
+    monkeypatch.setattr(kmer, "PRODUCTS", cells)
+    rng = np.random.default_rng(0)
+    for n, m, codes, share in ((7, 5, 40, 0.5), (30, 20, 2000, 0.01), (3, 3, 5, 0.0), (0, 4, 9, 0.5), (12, 12, 300, 0.1)):
+        dense = [rng.random((r, codes)) * (rng.random((r, codes)) < share) for r in (n, m)]
+        sides = []
+        for d in dense:
+            row, code = np.nonzero(d)
+            off = np.searchsorted(row, np.arange(len(d) + 1))
+            sides.append(kmer.Sparse(off, code.astype(np.int64) * 10**12, d[row, code]))
+        assert np.allclose(kmer.cosine_block(*sides), dense[0] @ dense[1].T)
+        if n > 3:
+            assert np.allclose(kmer.cosine_block(sides[0][2:3], sides[1]), dense[0][2:3] @ dense[1].T)
 
 
 def test_linkage_tables(spark):
@@ -159,3 +249,26 @@ def test_metrics(spark, tmp_path):
     runs = []
     assert metrics.calibrate({"s": lambda: runs.append(1)}, least_seconds=0.0, least_runs=3)["s"] >= 0 and len(runs) == 4
     assert "50.0%" in metrics.progress(5, 10, 1.0)
+
+
+def test_traces_and_filters(spark, tmp_path):
+    events = metrics.Events()
+    with events.of("engine", "compare", pairs=3):
+        pass
+    with pytest.raises(ZeroDivisionError), events.of("engine", "load"):
+        1 / 0
+    rec = events.records(spark)
+    assert [r.op for r in metrics.filtered(rec, ops="^comp").collect()] == ["compare"] and metrics.filtered(rec, actors="x").count() == 0
+    assert metrics.aggregate(metrics.durations(rec)).count() == 2
+    task = {"Event": "SparkListenerTaskEnd", "Stage ID": 4, "Task Info": {"Host": "h", "Executor ID": "1", "Task ID": 9, "Launch Time": 5, "Finish Time": 8}}
+    (tmp_path / "log").write_text(json.dumps({"Event": "SparkListenerJobStart"}) + "\n" + json.dumps(task) + "\n")
+    assert [tuple(r) for r in metrics.traced(spark, str(tmp_path / "log")).collect()] == [("h", "executor 1", "stage 4", 5_000_000, 8_000_000, "task 9")]
+
+
+def test_calibration_of_an_application(spark):
+    from quadrat import engine
+
+    items = spark.createDataFrame([(k, float(k)) for k in range(30)], "k long, payload double")
+    app = engine.Application(key="k", prep=lambda d: d.withColumn("payload", F.col("payload") + 1), pair=lambda a, b: a * b)
+    took = metrics.calibrate_application(app, items, lambda: items, sample=6, least_seconds=0.0, least_runs=1)
+    assert set(took) == {"load", "prepare", "compare"} and all(v > 0 for v in took.values())
