@@ -11,9 +11,11 @@ equality rests on 256-bit digests, and recipes of 16 to 48 bytes a KiB move
 instead of texts. `id_bits` shortens identifiers, for tests of the verification.
 
 Defined results: rows with a null text are copies of nothing; empty texts are
-copies of each other; the copy with the smallest id stays; rows with a null id
-come last; of rows equal in id and text one stays. Extra columns of any name
-are carried along.
+copies of each other; a very long text moves as its recipe; the copy with the
+smallest id stays; rows with a null id come last; of rows equal in id and text one
+stays, and rows that share an id but differ in text are told apart by their
+recipes; an empty table has no copies. deduplicate() carries extra columns of any
+name along, duplicates() doesn't.
 """
 
 from __future__ import annotations
@@ -106,17 +108,38 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
-    """docs with one row of each text; each text crosses the network once."""
-    text = F.col(text_col)
-    light = docs.select(text.alias("t")).where("t is not null").select(_recipe_udf(id_bits)("t").alias("r"))
-    verified = not _unverified(light)
-    rec, rank = common.fresh(docs, "recipe", "copy")
+    """docs with one row of each text.
+
+    Recipes are made once and shuffled; copies are then removed by id. Only rows
+    whose id doesn't tell them apart, being null or on several rows, are
+    shuffled themselves, by recipe.
+    """
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t is not null")
+    recipes = common.stored(base.select("doc_id", _recipe_udf(id_bits)("t").alias("r")), "recipes")
+    key = _key(not _unverified(recipes))
+    names = [f"k{i}" for i in range(len(key))]
+    rows = recipes.select("doc_id", *[k.alias(n) for k, n in zip(key, names)])
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    groups = rows.groupBy(*names).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = rows.join(groups, names).where("doc_id <> first").select("doc_id")
+    # ids on several rows leave with the copies; as far as they stay they come back, told apart by recipe
+    gone, many = (common.stored(x, "copies") for x in (copies.unionByName(several).distinct(), several))
+    n, shared = gone.count(), many.count()
+    text, own = F.col(text_col), docs[id_col]
+    gid, sid = common.fresh(docs, "gone_id", "shared_id")
+    out = docs.join(common.small(gone.toDF(gid), n, 48), (own == F.col(gid)) & text.isNotNull(), "left_anti") if n else docs
+    if not shared and recipes.where("doc_id is null").isEmpty():
+        return out
+    out = out.where(F.col(id_col).isNotNull() | text.isNull())
+    back = docs.join(common.small(many.toDF(sid), shared, 48), own == F.col(sid), "left_semi")
+    back = back.unionByName(docs.where(F.col(id_col).isNull())).where(text.isNotNull())
+    rec, first, rank = common.fresh(docs, "recipe", "first_id", "copy")
+    made = back.withColumn(rec, _recipe_udf(id_bits)(F.col(text_col)))
     r = F.col(rec)
-    key = [F.xxhash64(r["chunks"]), r["bytes"], r["chunks"]] + ([] if verified else [r["digests"]])
-    rows = docs.where(text.isNotNull()).withColumn(rec, _recipe_udf(id_bits)(text))
-    if verified:
-        rows = rows.withColumn(rec, F.struct(r["bytes"].alias("bytes"), r["chunks"].alias("chunks")))
-    order = W.partitionBy(*key).orderBy(F.col(id_col).asc_nulls_last())
-    # keeping only the first lets Spark drop copies within each task before the shuffle, so a hot text doesn't pile up
-    first = rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rec, rank)
-    return first.unionByName(docs.where(text.isNull()))
+    keys = common.fresh(made, *[f"key{i}" for i in range(len(names))])
+    parts = [F.xxhash64(r["chunks"]), r["bytes"], r["chunks"], r["digests"]][: len(keys)]
+    made = made.withColumns(dict(zip(keys, parts))).drop(rec)
+    low = rows.groupBy(*names).agg(F.min("doc_id").alias(first)).toDF(*keys, first)
+    order = W.partitionBy(*keys).orderBy(F.col(id_col).asc_nulls_last())
+    stay = made.join(low, keys).where(F.col(first).eqNullSafe(F.col(id_col))).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return out.unionByName(stay.select(*[stay[c] for c in docs.columns]))
