@@ -17,11 +17,15 @@ BROADCAST_BYTES = 32 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in local tests, one is made and set for the
-    session; it is removed when the process ends.
+    Only where that is unset and Spark runs in one process, as in tests, one is
+    made and set for the session; it is removed when the process ends. On a
+    cluster executors would write to disks of their own, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="quadrat-shared-")
         atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
