@@ -1,31 +1,38 @@
 """Licence scan: a trained paragraph classifier confirmed by templates.
 
-Each line of a text is a paragraph. Features are word 1- to 3-grams that occur in
-the built-in notices of licence families; a paragraph's vector is binary, scaled
-to unit length together with a constant for what it lacks. Multinomial logistic
-regression tells the families and the class "unknown" apart. It is trained on
-the notices, on altered copies of them, on sentences that speak of licences
-without granting one, and on a bounded sample of the corpus' own paragraphs that
-resemble no notice (`sample_docs` documents, taken by the hash of the id).
-A temperature is then fitted on a held-out part, so that probabilities are
-calibrated, and a paragraph whose most probable family stays below `confident`
-is unknown.
+Paragraphs are the lines of a text and, for notices that are wrapped, stretches of
+neighbouring lines. Features are word 1- to 3-grams that occur in the built-in
+notices of licence families; a paragraph's vector is binary, scaled to unit length
+together with a constant for what it lacks. Multinomial logistic regression tells
+the families and the class "unknown" apart. It is trained on the notices, on altered
+copies of them, on sentences that speak of licences without granting one, and on a
+bounded sample of the corpus' own lines, which have no labels and count as unknown
+if they resemble no notice: at most `sample_lines` lines of `sample_docs` documents,
+taken by hash. The bounds concern the fit alone; every text is scanned whole.
+
+A temperature calibrates the probabilities: the notices are split into FOLDS parts,
+each with all altered copies of its own, and the temperature is fitted on each
+part's scores by a model that has seen none of it. A paragraph whose most probable
+family stays below `confident` is unknown.
 
 A family is reported if the paragraph also holds at least `contained` of the
 weight of the word 2-grams of one of that family's notices. So a paragraph
 that has too few of any notice's 2-grams can't be reported; such paragraphs are
-recognised by their counts alone, exactly, and are not classified.
+recognised by their counts alone, exactly, and are not classified. Licences that
+have no template are therefore never reported, under any name.
 
-Notices that are wrapped over several lines are searched in runs of lines with
-words; comment marks aren't words. Stretches of neighbouring lines in which the
-words that hold `contained` of a notice are at most SPREAD times as many as the
+Stretches are runs of lines with words; comment marks aren't words. Those in which
+the words that hold `contained` of a notice are at most SPREAD times as many as the
 notice's are extended by the lines next to them that add to it, and classified
 and confirmed as a line is. Their first line's number is reported, unless the
 same family is reported for one of their lines already.
 
 Defined results: null and empty texts have no findings; a line without words is
-no paragraph but keeps its number; equal notices are decided by the order of
-TEMPLATES; repeated rows give repeated findings; a null id is reported as null.
+no paragraph but keeps its number; a very long text is scanned whole; equal notices
+are decided by the order of TEMPLATES, and of stretches of a family that overlap the
+most similar is reported, of several the first; repeated rows give repeated findings;
+a null id is reported as null; an empty table has no findings; extra columns, whatever
+their names, aren't carried along.
 """
 
 from __future__ import annotations
@@ -40,7 +47,8 @@ from pyspark.sql import functions as F
 
 from . import tokens
 
-SAMPLE_DOCS = 300
+#: Bounds of the unlabelled sample that the fit takes, and parts of the notices that calibrate in turn.
+SAMPLE_DOCS, SAMPLE_LINES, FOLDS = 300, 3000, 4
 CONFIDENT, CONTAINED = 0.5, 0.6
 UNKNOWN = "unknown"
 #: A wrapped notice's words may be spread over so many times the words it has.
@@ -367,43 +375,68 @@ def fit(negatives: list[str], confident: float = CONFIDENT, contained: float = C
     known = set(np.concatenate(pairs).tolist())
     _, neg_pairs = _grams_of(negatives) if negatives else ([], [])
     plain = [t for t, p in zip(negatives, neg_pairs) if sum(g in known for g in p.tolist()) < 0.2 * max(len(p), 1)]
-    data = [(families.index(f), _altered(t, rng) if k else t) for f, t in notices for k in range(24)]
-    data += [(len(TEMPLATES), _altered(t, rng) if k else t) for t in NO_NOTICE for k in range(12)]
-    data += [(len(TEMPLATES), t) for t in plain]
-    y = np.array([d[0] for d in data])
+    # class, text and, for calibration, the number of the notice or sentence that it comes from
+    data = [(families.index(f), _altered(t, rng) if k else t, m) for m, (f, t) in enumerate(notices) for k in range(24)]
+    data += [(len(TEMPLATES), _altered(t, rng) if k else t, m) for m, t in enumerate(NO_NOTICE) for k in range(12)]
+    data += [(len(TEMPLATES), t, m) for m, t in enumerate(plain)]
+    y, fold = np.array([d[0] for d in data]), np.array([d[2] for d in data]) % FOLDS
     grams, _ = _grams_of([d[1] for d in data])
-    row, feature = [], []
-    for k, g in enumerate(grams):
+    # examples alike in class, fold and features count as one of their number
+    alike: dict[tuple, int] = {}
+    for c, f, g in zip(y, fold, grams):
         v = np.minimum(np.searchsorted(vocabulary, g), len(vocabulary) - 1)
-        v = v[vocabulary[v] == g]
-        row.append(np.full(len(v), k))
-        feature.append(v)
-    row, feature = np.concatenate(row), np.concatenate(feature)
-    held = rng.random(len(y)) < 0.25
-    n, classes, size = len(y), len(families), len(vocabulary)
+        key = (int(c), int(f), v[vocabulary[v] == g].tobytes())
+        alike[key] = alike.get(key, 0) + 1
+    y, fold, times = np.array([k[0] for k in alike]), np.array([k[1] for k in alike]), np.array(list(alike.values()), float)
+    have = [np.frombuffer(k[2], np.int64) for k in alike]
+    logits = np.zeros((len(y), len(families)))
+    for k in range(FOLDS):
+        w = _descend(have, y, times * (fold != k), len(vocabulary), len(families), steps)
+        at = np.flatnonzero(fold == k)
+        logits[at] = _scores(w, [have[i] for i in at])
+    rows = np.arange(len(y))
+    loss = {t: -(times * np.log(_softmax(logits / t)[rows, y] + 1e-12)).sum() for t in np.geomspace(0.25, 4, 33)}
+    return Model(families, vocabulary, _descend(have, y, times, len(vocabulary), len(families), steps), min(loss, key=loss.get), templates, confident, contained)
+
+
+def _scores(weights: np.ndarray, have: list[np.ndarray]) -> np.ndarray:
+    row = np.repeat(np.arange(len(have)), [len(v) for v in have])
+    return _logits(weights, row, np.concatenate([*have, np.empty(0, np.int64)]).astype(np.int64), len(have))
+
+
+def _descend(have: list[np.ndarray], y: np.ndarray, times: np.ndarray, size: int, classes: int, steps: int) -> np.ndarray:
+    """Weights of each feature and class, the intercepts last, from examples that count `times` each."""
+    some = np.flatnonzero(times)
+    have, y, times = [have[k] for k in some], y[some], times[some] / times.sum()
+    n = np.array([len(v) for v in have])
+    row, feature = np.repeat(np.arange(len(y)), n), np.concatenate(have)
+    scale = (1 / np.sqrt(n + 2.0))[:, None]
+    order = np.argsort(feature, kind="stable")
+    by_feature, seen_features = row[order], np.unique(feature)
+    starts = np.searchsorted(feature[order], seen_features)
+    full = np.flatnonzero(n)
+    row_starts = (np.cumsum(n) - n)[full]
     target = np.eye(classes)[y]
     weights = np.zeros((size + 1, classes))
     seen = np.full_like(weights, 1e-8)
-    s = _scale(row, n)
-    fitted = ~held[:, None]
     for _ in range(steps):
-        err = (_softmax(_logits(weights, row, feature, n)) - target) * fitted / (~held).sum()
-        flat = err * s[:, None]
-        g = np.stack([np.bincount(feature, flat[row, c], size) for c in range(classes)], 1)
-        g = np.concatenate([g, err.sum(0, keepdims=True)]) + 1e-5 * weights
+        z = np.zeros((len(y), classes))
+        z[full] = np.add.reduceat(weights[feature], row_starts)
+        err = (_softmax(z * scale + weights[-1]) - target) * times[:, None]
+        g = 1e-5 * weights
+        g[seen_features] += np.add.reduceat((err * scale)[by_feature], starts)
+        g[-1] += err.sum(0)
         seen += g * g
         weights -= 0.5 * g / np.sqrt(seen)
-    logits = _logits(weights, row, feature, n)[held]
-    loss = {t: -np.log(_softmax(logits / t)[np.arange(held.sum()), y[held]] + 1e-12).mean() for t in np.geomspace(0.25, 4, 33)}
-    return Model(families, vocabulary, weights, min(loss, key=loss.get), templates, confident, contained)
+    return weights
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, confident: float = CONFIDENT, contained: float = CONTAINED) -> Model:
-    """Fit on notices and on the paragraphs of at most sample_docs documents of the corpus."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES, confident: float = CONFIDENT, contained: float = CONTAINED) -> Model:
+    """Fit on notices and on at most sample_lines lines of at most sample_docs documents of the corpus."""
     base = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     chosen = base.select("i").where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
     rows = base.join(F.broadcast(chosen), "i", "left_semi").select(F.explode(F.split("t", "\n")).alias("p")).where("length(trim(p)) > 0")
-    sample = [r.p for r in rows.distinct().orderBy(F.xxhash64("p"), "p").limit(10 * sample_docs).collect()]
+    sample = [r.p for r in rows.distinct().orderBy(F.xxhash64("p"), "p").limit(sample_lines).collect()]
     return fit(sample, confident, contained)
 
 

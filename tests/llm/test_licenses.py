@@ -70,6 +70,41 @@ def test_wrapped_notices(model, rng, mark, width):
             assert [x[1] for x in got] == [2], got
 
 
+def test_calibration_holds_out_whole_notices(model):
+    """No altered copy of a notice is scored by a model that has seen another one of it."""
+    seen, real = [], licenses._descend
+    try:
+        licenses._descend = lambda have, y, times, *rest: seen.append(times.sum()) or real(have, y, times, *rest[:-1], 1)
+        licenses.fit([])
+    finally:
+        licenses._descend = real
+    notices, talk = sum(map(len, licenses.TEMPLATES.values())), len(licenses.NO_NOTICE)
+    assert len(seen) == licenses.FOLDS + 1 and seen[-1] == 24 * notices + 12 * talk
+    for k, n in enumerate(seen[:-1]):
+        assert seen[-1] - n == 24 * len(range(k, notices, licenses.FOLDS)) + 12 * len(range(k, talk, licenses.FOLDS))
+    assert 0.25 <= model.temperature <= 4
+
+
+def test_recall_of_planted_wrapped_notices(model):
+    """Notices of 12 words or more at many widths and marks, with a word lost, within other text; clean texts beside them."""
+    r = np.random.default_rng(8)
+    found = total = 0
+    for family, notices in licenses.TEMPLATES.items():
+        for t in notices:
+            if len(t.split()) < 12:
+                continue
+            for width in (36, 48, 60, 72, 80, 100):
+                w = t.split()
+                del w[int(r.integers(len(w)))]
+                mark = str(r.choice(["", "# ", " * ", "// ", ";; ", "-- "]))
+                text = "\n".join([prose(r, 40), "", *(mark + x for x in textwrap.wrap(" ".join(w), width)), "", prose(r, 60)])
+                got = model.findings(pa.array([text, prose(r, 120)]))
+                total += 1
+                found += any(x[0] == 0 and x[2] == family for x in got)
+                assert not [x for x in got if x[0] == 1]
+    assert total >= 90 and found >= 0.9 * total  # some have lost the word that tells their family
+
+
 def test_scan(spark, rng, odd, none):
     rows = [(k, prose(rng, 40) + ("\nLicensed under the Apache License, Version 2.0." if k % 5 == 0 else ""), "en", "s", 0) for k in range(60)]
     out = licenses.scan(spark.createDataFrame(rows, DOCS)).collect()
