@@ -12,13 +12,18 @@ the lines that introduce them ("... wrote:") are then removed, and a
 conversation's messages are put in reply order: each message, then its replies
 by turn, each followed by its own.
 
-Only hashes of 8 bytes a sentence are joined; each text is shuffled once, to
-its conversation.
+Only hashes of 8 bytes a sentence are joined, and only (turn, message replied to) is
+gathered by conversation; texts are shuffled once, by message, so a conversation of
+any length is spread. A sentence that q messages of a conversation quote and s
+earlier ones hold makes up to q * s votes, counted before and after the shuffle.
 
 Defined results: rows with a null conv_id or turn belong to no conversation and
 are left out; a null text stays null, quotes nothing and is quoted by nothing; a
-message of quotes alone has an empty text; repeated rows are one message; of
-rows that share conv_id and turn but differ the smallest by role and text stays.
+message of quotes alone has an empty text; a first message replies to nothing, that
+is null; a very long text is one message; of messages with equally many matching
+sentences the latest is the one quoted; repeated rows are one message; of rows that
+share conv_id and turn but differ the smallest by role and text stays; an empty table
+has no conversations; extra columns, whatever their names, aren't carried along.
 """
 
 from __future__ import annotations
@@ -104,9 +109,9 @@ def _without_quotes(texts: pa.Array) -> pa.Array:
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to) of messages that quote earlier ones. messages: conv_id, turn, text."""
     h = messages.where("text is not null").select("conv_id", "turn", _hashes("text").alias("h"))
-    quoted = h.select("conv_id", "turn", F.explode("h.quoted").alias("q")).select("conv_id", "turn", "q.level", "q.s")
+    quoted = h.select("conv_id", "turn", F.explode("h.quoted").alias("q")).groupBy("conv_id", "turn", "q.level", "q.s").agg(F.count("*").alias("c"))
     own = h.select("conv_id", F.col("turn").alias("source"), F.explode(F.array_distinct("h.own")).alias("s"))
-    votes = quoted.join(own, ["conv_id", "s"]).where("source < turn").groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("n"))
+    votes = quoted.join(own, ["conv_id", "s"]).where("source < turn").groupBy("conv_id", "turn", "level", "source").agg(F.sum("c").alias("n"))
     best = votes.groupBy("conv_id", "turn", "level").agg(F.max(F.struct("n", "source")).alias("b"))
     return best.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "b.source")).alias("r")).select("conv_id", "turn", F.col("r.source").alias("reply_to"))
 
@@ -129,29 +134,26 @@ def reply_order(turns: list[int], reply_to: list[int | None]) -> list[tuple[int,
     return out
 
 
-_ORDER = "conv_id long, position long, turn long, role string, reply_to long, depth long, text string"
-
-
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each message, `position` counting in reply order from 0 in each conversation."""
+    """(conv_id, position, turn, role, reply_to, depth, text) of each message, `position` counting in reply order from 0 in each conversation."""
     base = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).where("conv_id is not null and turn is not null")
     one = W.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
-    # the window keeps the rows of a conversation's turn together; grouping by conversation comes first, so both use one shuffle
-    base = base.repartition("conv_id").withColumn("k", F.row_number().over(one)).where("k = 1").drop("k")
-    linked = base.join(links(base.select("conv_id", "turn", "text")), ["conv_id", "turn"], "left").withColumn("text", _without_quotes("text"))
-    grouped = linked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "reply_to", "text"))).alias("m"))
+    base = base.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k")
+    linked = base.select("conv_id", "turn").join(links(base.select("conv_id", "turn", "text")), ["conv_id", "turn"], "left")
+    grouped = linked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "reply_to"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for conv, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for pos, (k, to, depth) in enumerate(reply_order([x["turn"] for x in m], [x["reply_to"] for x in m])):
-                    rows.append((conv, pos, m[k]["turn"], m[k]["role"], to, depth, m[k]["text"]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            names = ["conv_id", "position", "turn", "role", "reply_to", "depth", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
-
-    return grouped.mapInArrow(run, _ORDER)
+                turns = [x["turn"] for x in m]
+                rows += [(conv, turns[k], pos, to, depth) for pos, (k, to, depth) in enumerate(reply_order(turns, [x["reply_to"] for x in m]))]
+            names = ["conv_id", "turn", "position", "reply_to", "depth"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], names)
+
+    order = grouped.mapInArrow(run, "conv_id long, turn long, position long, reply_to long, depth long")
+    out = base.join(order, ["conv_id", "turn"])
+    return out.select("conv_id", "position", "turn", "role", "reply_to", "depth", _without_quotes("text").alias("text"))
 
 
 def rendered(ordered: DataFrame, end: str = "<|end|>") -> DataFrame:

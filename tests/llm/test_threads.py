@@ -90,3 +90,13 @@ def test_reply_order_is_a_preorder(n):
     place = {k * 10: i for i, (k, _, _) in enumerate(out)}
     for i, (k, p, depth) in enumerate(out):
         assert p is None or place[p] < i and all(out[x][2] >= depth for x in range(place[p] + 1, i))
+
+
+def test_a_long_conversation_with_repeated_sentences(spark, rng):
+    """2,000 messages, each of which quotes an earlier one among answers that all are alike."""
+    own = [prose(rng, 8) for _ in range(2000)]
+    parent = [None] + [int(rng.integers(0, k)) for k in range(1, 2000)]
+    rows = [(1, k, "u", f"> {own[parent[k]]}\n> Yes.\n{own[k]} Yes." if k else f"{own[0]} Yes.") for k in range(2000)]
+    out = {r.turn: r for r in threads.conversations(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert len(out) == 2000 and all(out[k].reply_to == parent[k] and out[k].text == f"{own[k]} Yes." for k in range(2000))
+    assert sorted(r.position for r in out.values()) == list(range(2000))
