@@ -62,3 +62,19 @@ def test_odd_rows(spark, odd, none, rng):
     no_labels = spark.createDataFrame([], LABELS)
     assert not any(r.toxic for r in toxicity.detect(odd, no_labels).collect())
     assert toxicity.drop_toxic(odd, no_labels).count() == odd.count()
+
+
+def test_labels_are_made_one_before_the_bounds(spark, rng):
+    """Documents with both labels are toxic, however few rows of each class the bounds allow."""
+    rows, labels = _corpus(rng, 300)
+    both = [(d, 1, 0) for d, _, t in labels if t] + [(d, 1, 3 * t) for d, _, t in labels] + [(d, 1, -1) for d, _, t in labels if not t]
+    docs = spark.createDataFrame(rows, DOCS)
+    bound = toxicity.train(docs, spark.createDataFrame(both, LABELS).repartition(3), max_toxic=20, max_clean=40)
+    want = toxicity.train(docs, spark.createDataFrame(labels, LABELS).repartition(3), max_toxic=20, max_clean=40)
+    assert (bound[0] == want[0]).all() and (bound[1] == want[1]).all() and bound[2] == want[2]
+
+
+def test_number_of_features_is_a_parameter(spark, rng):
+    rows, labels = _corpus(rng, 200)
+    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS), max_features=7)
+    assert len(model[0]) == len(model[1]) == 7
