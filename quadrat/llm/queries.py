@@ -24,7 +24,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.conversations(table(spark, "conversations", sf_dir))
+    """replies says whether a message replies to any; readers differ in the type of a null in a column of integers, so reply_to names the message itself where it doesn't."""
+    rows = threads.conversations(table(spark, "conversations", sf_dir))
+    return rows.withColumns({"replies": F.col("reply_to").isNotNull(), "reply_to": F.coalesce("reply_to", "turn")})
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +97,6 @@ linked AS (
 tree AS (
   SELECT conv_id, turn, [turn] AS path FROM linked WHERE reply_to IS NULL
   UNION ALL SELECT l.conv_id, l.turn, list_append(t.path, l.turn) FROM tree t JOIN linked l ON l.conv_id = t.conv_id AND l.reply_to = t.turn)
-SELECT l.conv_id, (row_number() OVER (PARTITION BY l.conv_id ORDER BY path) - 1)::BIGINT AS position, l.turn, l.role, l.reply_to, (len(path) - 1)::BIGINT AS depth, l.text
+SELECT l.conv_id, (row_number() OVER (PARTITION BY l.conv_id ORDER BY path) - 1)::BIGINT AS position, l.turn, l.role, l.reply_to IS NOT NULL AS replies, coalesce(l.reply_to, l.turn) AS reply_to, (len(path) - 1)::BIGINT AS depth, l.text
 FROM linked l JOIN tree USING (conv_id, turn)""",
 }

