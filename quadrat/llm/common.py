@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,16 +54,37 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here.
 
     The files lie in storage that all executors share, so losing an executor
-    loses nothing. remove_stored() frees them when no plan reads them any more.
+    loses nothing. remove_stored() or the end of a temporaries() block frees them
+    when no plan reads them any more, and the end of the session what is left then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quadrat-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quadrat_path = path  # type: ignore[attr-defined]
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    for made in _open:
+        made.append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporaries() -> Iterator[None]:
+    """Remove the tables that are stored within the block at its end; for blocks that write what they make of them."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for t in made:
+            remove_stored(t)
+
+
 class Scratch:
     """Stored tables that a computation needs only until its result is stored."""
 
@@ -81,9 +104,12 @@ class Scratch:
 def remove_stored(df: DataFrame) -> None:
     path = getattr(df, "_quadrat_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

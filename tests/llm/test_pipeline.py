@@ -1,9 +1,11 @@
+import pathlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quadrat.llm import decontam, tokenization, toxicity
+from quadrat.llm import common, decontam, tokenization, toxicity
 
 from .conftest import DOCS, prose
 from .test_decontam import ITEMS
@@ -61,7 +63,11 @@ def test_against_a_brute_force_pipeline(spark, case):
     assert len(bad) >= 15 and len(gone) >= 20
     left = [d for d in left if d not in bad]
     encode = tokenization.encoder().encode_ordinary
+    shared = pathlib.Path(common.shared_folder(spark).removeprefix("file://"))
+    there = set(shared.iterdir())
     rows = corpus_pipeline.run(spark, folder).collect()
+    left = set(shared.iterdir()) - there
+    assert len(left) == 1 and [p.name for p in left.pop().iterdir()] == ["4_packing"]
     got = {}
     for r in rows:
         assert r.used == sum(r.lengths) <= 4096 and r.used + r.waste == 4096
@@ -90,3 +96,16 @@ def test_odd_rows_pass_every_stage(spark, tmp_path, odd, rng):
 def test_empty_tables(spark, tmp_path):
     folder = _write(spark, tmp_path / "d", [], [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda f: None))
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,3000]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_folder(session(master))
+        assert common.shared_folder(session(master, "hdfs://a/b/")) == "hdfs://a/b"
+    assert common.shared_folder(session("local[2]"))
