@@ -1,11 +1,24 @@
-"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+The stages drop toxic documents, exact copies, near-duplicates but one of a group and
+documents that hold benchmark passages, and pack the rest; all but the last return
+the columns of documents, whatever others there are and whatever their names.
+
+Defined results: a null text passes the first four stages and is in no bin; an empty
+text is a text, of which one copy stays; a very long text is read whole and cut into
+pieces by the last stage; ties go to the smallest id; repeated rows are exact copies, of
+which one stays; a null id is kept where its text is no copy; with empty tables, or
+without labels or a benchmark, the stages that need them drop nothing.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrat.llm import decontam, exact, neardup, packing, toxicity
-from quadrat.llm.common import shared_folder, table
+from quadrat.llm.common import remove, shared_folder, table, temporaries
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written and read again."""
-    import uuid
-
+    """All stages over documents; each one's result is written and read again, and removed when the next one's is there."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, "documents", sf_dir)
+    docs, before = table(spark, "documents", sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporaries():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
