@@ -16,34 +16,38 @@ that are larger, smaller and equal, by maximising
     D+ log p(u - vJ) + D- log p(v - uJ) + D0 log(1 - p(u - vJ) - p(v - uJ)),
     p(x) = -log_b(1 - x (b - 1) / b),
 
-with u, v the documents' shares of the shingle counts. Whatever isn't near the
-smallest document is compared with all others of the bucket. Pairs estimated at
+with u, v the documents' shares of the shingle counts. Pairs estimated at
 `threshold` minus MARGIN or more are candidates.
 
 Verification. Exact Jaccard similarity of the shingle sets, at least
 `threshold`. Only pairs that can still join two groups are verified, best
-estimate first. Once the first ones are, every bucket whose documents aren't yet
-one group is searched again, and all pairs of documents of different groups are
-compared: being near the smallest document by the estimate alone spares no pair
-its comparison, and a bucket of copies costs time in proportion to its size.
-When no pair is left, groups are the connected components of the verified pairs
-over all candidates.
+estimate first. Once the first ones are, every bucket of three or more whose
+documents aren't yet one group is searched again, and all pairs of documents of
+different groups are compared: no pair of a bucket is passed over, and a bucket of
+copies costs time in proportion to its size. When no pair is left, groups are the
+connected components of the verified pairs over all candidates.
 
 Documents with equal shingle multisets are collapsed before the search. All
-documents take part; nothing is capped.
+documents take part; nothing is capped. A bucket of any size is spread: the first
+comparison takes parts of about PART documents, each with the smallest one, the
+second tiles of about TILE by TILE.
 
 Defined results: null texts and texts without words are in no group; rows with
-a null id are ignored and kept; rows that share an id are one document; a
-text of 1 or 2 words has one shingle. A group's smallest id stays.
+a null id are ignored and kept; rows that share an id are one document, for which
+the text with the largest hash stands; a text of 1 or 2 words has one shingle; a
+very long text is one set of shingles like any other. A group's smallest id stays;
+similarities that tie with the threshold count. An empty table has no groups.
+deduplicate() carries extra columns of any name along, duplicates() doesn't.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -60,6 +64,11 @@ ROUNDS = 3
 #: The round after which, at the latest, buckets of several groups are searched again.
 AGAIN = 1
 
+#: Documents of a bucket that one row holds, in the first search and on a side of a tile in the second.
+PART, TILE = 4096, 2048
+#: Up to so many edges, 16 bytes each, one task finds the components; beyond it rounds of joins do.
+ONE_TASK_EDGES = 1 << 20
+
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -148,36 +157,20 @@ def _estimates(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, l
 
 
 def bucket_pairs(ids: np.ndarray, sizes: np.ndarray, regs: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs of buckets starts[k]:starts[k + 1], each sorted by id."""
+    """Candidates among the pairs of the first row of buckets starts[k]:starts[k + 1] with each other one."""
     least = threshold - MARGIN
-    lead = np.repeat(starts[:-1], np.diff(starts))
-    row = np.arange(len(ids))
+    lead, row = np.repeat(starts[:-1], np.diff(starts)), np.arange(len(ids))
     row, lead = row[row != lead], lead[row != lead]
     est = _estimates(regs[lead], regs[row], sizes[lead], sizes[row], least)
-    found = [(lead[est >= least], row[est >= least], est[est >= least])]
-    bucket = np.searchsorted(starts, row, "right") - 1
-    for k in np.unique(bucket[est < threshold]):
-        mine = bucket == k
-        left = row[mine & (est < threshold)]
-        attached = row[mine & (est >= threshold)]
-        while len(left):
-            rest = left[1:]
-            others = np.concatenate([attached, rest])
-            if len(others):
-                e = _estimates(regs[others], np.broadcast_to(regs[left[0]], (len(others), REGISTERS)), sizes[others], np.broadcast_to(sizes[left[0]], len(others)), least)
-                hit = e >= least
-                a, b = np.minimum(others[hit], left[0]), np.maximum(others[hit], left[0])
-                found.append((a, b, e[hit]))
-                near = e[len(attached) :] >= threshold
-                attached = np.concatenate([attached, rest[near], left[:1]])
-                rest = rest[~near]
-            left = rest
-    a, b, e = (np.concatenate(x) for x in zip(*found))
-    return ids[a], ids[b], e
-
-
-def crossing_pairs(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, regs: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All candidate pairs of different groups in buckets starts[k]:starts[k + 1], each sorted by id."""
+    hit = est >= least
+    return ids[lead[hit]], ids[row[hit]], est[hit]
+
+
+def crossing_pairs(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, regs: np.ndarray, starts: np.ndarray, threshold: float, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All candidate pairs of different groups in buckets starts[k]:starts[k + 1], each sorted by id.
+
+    sides: 0 for rows that meet all others, otherwise the side of a tile, whose rows only meet the other side's.
+    """
     least, n = threshold - MARGIN, len(ids)
     later = np.repeat(starts[1:], np.diff(starts)) - np.arange(n) - 1
     ends = np.cumsum(later)
@@ -187,6 +180,8 @@ def crossing_pairs(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, regs:
         left = np.repeat(np.arange(lo, hi), later[lo:hi])
         right = left + 1 + np.arange(len(left)) - np.repeat(ends[lo:hi] - later[lo:hi] - (ends[lo] - later[lo]), later[lo:hi])
         apart = groups[left] != groups[right]
+        if sides is not None:
+            apart &= (sides[left] == 0) | (sides[left] != sides[right])
         left, right, lo = left[apart], right[apart], hi
         if len(left):
             e = _estimates(regs[left], regs[right], sizes[left], sizes[right], least)
@@ -195,15 +190,17 @@ def crossing_pairs(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, regs:
 
 
 def _sketches(base: DataFrame) -> DataFrame:
+    """(id, n, d0, d1, regs), one row of each id. base: id, h, t."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regs, size, digest = sketch(batch.column(1))
+            regs, size, digest = sketch(batch.column(2))
             blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), len(regs), [None, pa.py_buffer(regs.tobytes())]).cast(pa.binary())
             d = digest.view(np.int64)
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(d[:, 0]), pa.array(d[:, 1]), blob], ["id", "n", "d0", "d1", "regs"])
-            yield out.filter(pa.array(size > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(d[:, 0]), pa.array(d[:, 1]), blob], ["id", "h", "n", "d0", "d1", "regs"])
 
-    return base.mapInArrow(run, "id long, n long, d0 long, d1 long, regs binary")
+    each = base.mapInArrow(run, "id long, h long, n long, d0 long, d1 long, regs binary")
+    return each.groupBy("id").agg(F.max(F.struct("h", "n", "d0", "d1", "regs")).alias("x")).select("id", "x.n", "x.d0", "x.d1", "x.regs").where("n > 0")
 
 
 def _matrix(blobs: pa.Array) -> np.ndarray:
@@ -229,16 +226,21 @@ def _keys(reps: DataFrame) -> DataFrame:
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """(bucket, id) of all buckets of two or more, those of the same documents once."""
-    buckets = _keys(reps).groupBy("key").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
-    buckets = buckets.select(F.sort_array("ids").alias("ids")).distinct()
-    return buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id"))
+    """(bucket, id, size, lead) of all buckets of two or more, those of the same documents once; lead: the smallest id."""
+    mine = W.partitionBy("key")
+    hashes = [F.bit_xor(F.xxhash64("id", F.lit(k))).over(mine) for k in (1, 2)]
+    rows = _keys(reps).select("id", F.count("*").over(mine).alias("size"), F.min("id").over(mine).alias("lead"), *[h.alias(f"x{k}") for k, h in enumerate(hashes)]).where("size > 1")
+    # buckets that agree in size, smallest id and both hashes hold the same documents
+    return rows.groupBy(F.xxhash64("size", "lead", "x0", "x1").alias("bucket"), "id").agg(F.min("size").alias("size"), F.min("lead").alias("lead"))
 
 
 def _candidates(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, est) with a < b."""
-    rows = members.join(reps.select("id", "n", "regs"), "id")
-    rows = rows.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "n", "regs"))).alias("m"))
+    """(a, b, est) with a < b, of pairs with the smallest of a bucket."""
+    parts = F.ceil(F.col("size") / PART)
+    own = F.array(F.pmod(F.xxhash64("id"), parts))
+    rows = members.withColumn("part", F.explode(F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(own)))
+    rows = rows.join(reps.select("id", "n", "regs"), "id")
+    rows = rows.groupBy("bucket", "part").agg(F.sort_array(F.collect_list(F.struct("id", "n", "regs"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,18 +256,23 @@ def _candidates(members: DataFrame, reps: DataFrame, threshold: float) -> DataFr
 
 def _passed_over(members: DataFrame, reps: DataFrame, pairs: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """(a, b, est, ca, cb) of the candidates in buckets of several groups that aren't among pairs; roots: id, root."""
-    grouped = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    grouped = members.where("size > 2").join(roots, "id", "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
     several = grouped.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    rows = grouped.join(several, "bucket", "left_semi").join(reps.select("id", "n", "regs"), "id")
-    rows = rows.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "root", "n", "regs"))).alias("m"))
+    rows = grouped.join(several, "bucket", "left_semi")
+    blocks = F.ceil(F.col("size") / TILE)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least("block", k).alias("ti"), F.greatest("block", k).alias("tj")))
+    rows = rows.withColumn("tile", F.explode(tiles)).join(reps.select("id", "n", "regs"), "id")
+    side = F.when(F.col("tile.ti") == F.col("tile.tj"), 0).when(F.col("block") == F.col("tile.ti"), 1).otherwise(2)
+    rows = rows.groupBy("bucket", "tile").agg(F.sort_array(F.collect_list(F.struct("id", "root", "n", side.alias("side"), "regs"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = batch.column(0)
             starts = np.concatenate([[0], np.cumsum(m.value_lengths().to_numpy())])
             flat = m.flatten()
-            ids, root, n = (flat.field(k).to_numpy() for k in range(3))
-            for a, b, e in crossing_pairs(ids, root, n, _matrix(flat.field(3)), starts, threshold):
+            ids, root, n, sides = (flat.field(k).to_numpy() for k in range(4))
+            for a, b, e in crossing_pairs(ids, root, n, _matrix(flat.field(4)), starts, threshold, sides):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], ["a", "b", "est"])
 
     found = rows.select("m").mapInArrow(run, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
@@ -308,14 +315,46 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
+def connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the edges (a, b) and the smallest id of each one's component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for end in (x, y):
+            np.minimum.at(new, root[end], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return ids, ids[root]
+        root = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of all ids in edges (a, b); root: the smallest id of the component.
 
-    Alternates the large-star and small-star steps until nothing changes, a
-    logarithmic number of rounds; each round's edges are written to the shared
-    folder, so no lineage piles up and lost executors cost nothing but a retry.
+    The result is written to the shared folder, and so is what lies between: no
+    lineage piles up and lost executors cost nothing but a retry.
     """
     edges = common.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    if edges.count() > ONE_TASK_EDGES:
+        return _star_rounds(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            ids, roots = connected(*(np.concatenate(x) for x in zip(*parts)))
+            for k in range(0, len(ids), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + (1 << 16)]), pa.array(roots[k : k + (1 << 16)])], ["id", "root"])
+
+    out = common.stored(edges.coalesce(1).mapInArrow(run, "id long, root long"), "roots")
+    common.remove_stored(edges)
+    return out
+
+
+def _star_rounds(edges: DataFrame) -> DataFrame:
+    """The same for any number of stored edges (a, b), a > b: large-star and small-star steps until nothing changes, a logarithmic number."""
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -337,32 +376,37 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, root) of all documents in groups of two or more."""
     scratch = common.Scratch()
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    sk = scratch.stored(_sketches(base).dropDuplicates(["id"]), "sketches")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+    sk = scratch.stored(_sketches(base), "sketches")
     alike = sk.groupBy("d0", "d1", "n").agg(F.min("id").alias("root"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = scratch.stored(sk.select("id", "d0", "d1", "n").join(alike, ["d0", "d1", "n"]).where("id <> root").select("id", "root"), "copies")
     reps = sk.join(copies.select("id"), "id", "left_anti")
     members = scratch.stored(_members(reps), "buckets")
     pairs = scratch.stored(_candidates(members, reps, threshold), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    n = wanted.count()
-    # a shared id's rows are one document: the largest text stands for it
-    texts = base.join(common.small(wanted, n, 48), F.col("id") == F.col("w")).groupBy("id").agg(F.max("t").alias("t"))
-    texts = scratch.stored(texts, "texts")
-    edges = verified_edges(pairs, members, reps, texts, threshold, scratch)
+
+    def texts_of(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """(id, t) of the documents in pairs, without those in known."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+        wanted = wanted if known is None else wanted.join(known, F.col("w") == F.col("id"), "left_anti")
+        wanted = scratch.stored(wanted, "wanted")
+        # of a shared id's rows the same one as in the sketches
+        found = base.join(common.small(wanted, wanted.count(), 48), F.col("id") == F.col("w")).groupBy("id").agg(F.max(F.struct("h", "t")).alias("x"))
+        return scratch.stored(found.select("id", "x.t"), "texts")
+
+    edges = verified_edges(pairs, members, reps, texts_of, threshold, scratch)
     roots = scratch.stored(edges.unionByName(copies.toDF("b", "a")), "links")
     out = components(roots)  # is stored, so nothing reads the tables before it any more
     scratch.clear()
     return out
 
 
-def verified_edges(pairs: DataFrame, members: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float, scratch: common.Scratch) -> DataFrame:
+def verified_edges(pairs: DataFrame, members: DataFrame, reps: DataFrame, texts_of: Callable[..., DataFrame], threshold: float, scratch: common.Scratch) -> DataFrame:
     """Verified pairs that connect all that any verified pair would connect.
 
-    pairs holds no pair of two rows near the smallest of their bucket; those of
+    pairs holds only those with the smallest of a bucket; the others that are of
     different groups join it when AGAIN rounds are over or no pair is left.
     """
-    edges, again = None, True
+    edges, again, texts = None, True, texts_of(pairs)
     open_pairs = pairs.select("a", "b", "est", F.col("a").alias("ca"), F.col("b").alias("cb"))
     for r in range(ROUNDS + 1):
         if r < ROUNDS:
@@ -382,6 +426,7 @@ def verified_edges(pairs: DataFrame, members: DataFrame, reps: DataFrame, texts:
         if again and (none or r >= AGAIN):
             more = scratch.stored(_passed_over(members, reps, pairs, roots, threshold), "open")
             open_pairs, again, none = open_pairs.unionByName(more), False, none and more.isEmpty()
+            texts = texts.unionByName(texts_of(more, texts))
         if none and not again:
             return edges
     return edges

@@ -42,6 +42,16 @@ def test_ties_and_nulls_of_copies(spark):
     assert sorted(r.doc_id for r in exact.deduplicate(df).collect()) == [2, 7, 8, 9]
 
 
+def test_ids_that_do_not_tell_rows_apart(spark):
+    """Shared and null ids against keeping the first row of each text by hand."""
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "c"), (2, None), (3, "c"), (None, "c"), (None, "d"), (None, "d"), (None, None), (4, "e"), (4, "e"), (0, "e"), (1, None)]
+    df = spark.createDataFrame([(*r, 1, "k", "f") for r in rows], "doc_id long, text string, copy long, first_id string, key0 string").repartition(4)
+    want = sorted(map(str, [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (0, "e"), (2, None), (None, None), (1, None)]))
+    for bits in (64, 3):
+        kept = exact.deduplicate(df, id_bits=bits)
+        assert kept.columns == df.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == want
+
+
 def test_chunk_borders_follow_the_content(rng):
     text = prose(rng, 8000)
     shifted = "An inserted beginning. " + text
@@ -152,6 +162,38 @@ def test_crossing_pairs_are_all_of_different_groups(rng):
     assert len(got) == len(set(got)) > 1 << 15 and sorted(got) == sorted(want)
 
 
+def test_split_buckets_give_the_same(spark, rng, monkeypatch):
+    """Parts and tiles of a few documents each, and components by joins."""
+    shared, texts = prose(rng, 120), []
+    for _ in range(20):
+        both = prose(rng, 20)
+        texts += [f"{shared} {both} {prose(rng, int(n))}" for n in rng.integers(36, 52, 2)]
+    big = prose(rng, 200)
+    texts += [_edited(rng, big, 0.04) for _ in range(30)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).repartition(3)
+    want = _pairs(neardup.duplicates(df))
+    for name, value in (("PART", 4), ("TILE", 3), ("ONE_TASK_EDGES", 0)):
+        monkeypatch.setattr(neardup, name, value)
+    assert _pairs(neardup.duplicates(df)) == want and set(want) == _bucketed_groups(texts, 0.5)
+
+
+def test_pairs_that_only_the_second_search_finds_are_verified(spark, rng, monkeypatch):
+    """The first search made to find nothing in buckets of three or more, so their texts weren't fetched for it."""
+    big = prose(rng, 200)
+    texts = [_edited(rng, big, 0.04) for _ in range(25)] + [prose(rng, 50) for _ in range(5)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).repartition(3)
+    want, real = _pairs(neardup.duplicates(df)), neardup._candidates
+    monkeypatch.setattr(neardup, "_candidates", lambda members, reps, threshold: real(members.where("size = 2"), reps, threshold))
+    assert len(want) == 24 and _pairs(neardup.duplicates(df)) == want
+
+
+def test_rows_that_share_an_id_are_one_text_in_any_order(spark, rng):
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a, None, None, None), (2, a + " more", None, None, None), (2, b, None, None, None), (2, "", None, None, None)]
+    got = {str(_pairs(neardup.duplicates(spark.createDataFrame([rows[k] for k in order], DOCS).repartition(n)))) for order in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)) for n in (1, 3)}
+    assert len(got) == 1 and got <= {"[]", "[(2, 1)]"}
+
+
 def test_near_with_odd_rows(odd, none, spark):
     assert neardup.duplicates(odd).count() == 0
     kept = neardup.deduplicate(odd)
@@ -195,8 +237,10 @@ def test_likelihood_peaks_where_a_grid_does(rng):
         assert abs(j[like.argmax()] - got[k]) < 2e-3
 
 
-def test_components_of_chains_and_stars(spark, rng):
+def test_components_of_chains_and_stars(spark, rng, monkeypatch):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(50, 51), (51, 50), (60, 60)]
     df = spark.createDataFrame([edges[k] for k in rng.permutation(len(edges))], "a long, b long")
-    got = {r.id: r.root for r in neardup.components(df).collect()}
-    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}, 50: 50, 51: 50}
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(neardup, "ONE_TASK_EDGES", most)
+        got = {r.id: r.root for r in neardup.components(df).collect()}
+        assert len(got) == neardup.components(df).count() and got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}, 50: 50, 51: 50}
