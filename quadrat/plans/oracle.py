@@ -225,3 +225,28 @@ s AS (SELECT station, channel, row_number() OVER (PARTITION BY station, channel
 _SUMS = ", ".join(f"{r6(f'sum(a.{p}r * b.{q}r + a.{p}i * b.{q}i)')} AS {p}{q}_re, {r6(f'sum(a.{p}i * b.{q}r - a.{p}r * b.{q}i)')} AS {p}{q}_im" for p in "xy" for q in "xy")
 SQL["radio_visibility"] = f"WITH {_SAMPLES} SELECT a.station AS i, b.station AS j, a.channel::BIGINT AS channel, {_SUMS} FROM s a JOIN s b ON a.channel = b.channel AND a.t = b.t AND a.station <= b.station GROUP BY 1, 2, 3"
 SQL["profile_aggregate"] = "SELECT user_id AS actor, event_type AS op, count(*)::BIGINT AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2"
+
+# -- files written and read back
+
+_LETTERS = "chr(10) || upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+SQL["fasta_files"] = f"SELECT doc_id, length({_LETTERS})::BIGINT AS letters, md5({_LETTERS}) AS digest FROM documents WHERE doc_id < 60 AND text IS NOT NULL"
+SQL["particle_files"] = f"WITH {_POINTS} SELECT particle, {r6('x')} AS x, {r6('y')} AS y, {r6('sigma')} AS sigma FROM pts WHERE particle < 20"
+SQL["station_names"] = "SELECT range::VARCHAR AS station FROM range(1500)"
+SQL["file_listing"] = "SELECT name, length, (row_number() OVER (ORDER BY name) - 1)::BIGINT AS pos FROM (SELECT n_nationkey || '.txt' AS name, strlen(n_name)::BIGINT AS length FROM nation) WHERE name LIKE '1%'"
+SQL["keyed_inputs"] = "SELECT n_regionkey::BIGINT AS key, string_agg(n_name, '+' ORDER BY n_nationkey DESC) AS contents FROM nation GROUP BY 1"
+SQL["float_arrays"] = f"SELECT vec_id::BIGINT AS vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS k, {r6('unnest(embedding)::FLOAT::DOUBLE')} AS v FROM embeddings WHERE vec_id < 50"
+SQL["matrix_binary"] = f"{_FEW} SELECT i::BIGINT AS i, j::BIGINT AS j, c FROM m"
+SQL["distance_json"] = f"{_FEW} SELECT printf('v%03d', i) AS left, printf('v%03d', j) AS right, CASE WHEN i = j THEN -1.0 ELSE c END AS c FROM m"
+SQL["linkage_text"] = f"{_clusters('> 0')} SELECT DISTINCT (step - 1)::BIGINT AS step, printf('[%d,%d,%f,%d]', n1, n2, {r6('sim')}, size) AS line FROM w WHERE step > 0"
+SQL["flat_cluster_text"] = f"""{_clusters('>= 0.3')}, last AS (SELECT id, list_sort(members) AS members, row_number() OVER (ORDER BY id) AS k FROM w WHERE step = (SELECT max(step) FROM w)),
+n AS (SELECT count(*) AS n FROM last), flat AS (SELECT unnest(members) AS pos, k FROM last),
+lines AS (SELECT 0 AS pos, 'flat clustering:' AS line UNION ALL SELECT k, id || '=' || members::VARCHAR FROM last
+UNION ALL SELECT n + 1, '' FROM n UNION ALL SELECT n + 2, 'labels:' FROM n
+UNION ALL SELECT n + 3, '[' || (SELECT string_agg(lpad(k::VARCHAR, length((SELECT n + 1 FROM n)::VARCHAR)::INT, ' ') || ' ', '' ORDER BY pos) FROM flat) || ']' FROM n UNION ALL SELECT n + 4, '' FROM n)
+SELECT pos::BIGINT AS pos, line FROM lines"""
+SQL["profile_files"] = f"SELECT user_id::VARCHAR AS actor, event_type AS op, count(*)::BIGINT AS n, {r6('sum(floor(abs(value) * 1e6) / 1e9)')} AS total FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2"
+SQL["pair_sample"] = "SELECT 200::BIGINT AS n, 200::BIGINT AS different, 200::BIGINT AS ordered"
+SQL["emb_dot_tiles"] = SQL["emb_dot_theta"]
+SQL["arrivals"] = f"SELECT a.vec_id::BIGINT AS i, b.vec_id::BIGINT AS j, {r6('a.embedding[1]::DOUBLE - 2 * b.embedding[2]::DOUBLE')} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id < 150"
+SQL["cv_sorted"] = _kmers() + f"SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY code) - 1)::BIGINT AS k, code, {r6('val')} AS val FROM v"
+SQL["img_ncc"] = _image(_zero_mean("px"), f"SELECT a.img AS i, b.img AS j, {r6('sum(a.v * b.v) / sqrt(sum(a.v * a.v) - sum(a.v) ** 2) / sqrt(sum(b.v * b.v) - sum(b.v) ** 2)')} AS ncc FROM z a JOIN z b ON a.y = b.y AND a.x = b.x AND a.img <= b.img GROUP BY 1, 2")

@@ -7,6 +7,7 @@ folders of parts that tasks write; the parts in the order of their names are the
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -87,6 +88,7 @@ def _write_blobs(blobs: DataFrame, folder: str, suffix: str, name: str | None =
     blobs: data, and name. A task writes aside and renames, so a repeated or lost one leaves no half a file.
     """
     uri = folder if "://" in folder else f"file://{os.path.abspath(folder.removeprefix('file:'))}"
+    uri = re.sub("^file:/*", "file:///", uri)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(uri)
@@ -116,6 +118,11 @@ def _write_blobs(blobs: DataFrame, folder: str, suffix: str, name: str | None =
     return sorted(r.file for r in blobs.mapInArrow(run, "file string").collect())
 
 
+def write_files(files: DataFrame, path: str, suffix: str = "") -> list[str]:
+    """One file for each row (name, data); null data have none."""
+    return _write_blobs(files.select("name", "data"), path, suffix, "name")
+
+
 def write_matrix_binary(matrix: DataFrame, path: str) -> list[str]:
     """Big-endian float64, row-major, in parts; their names, whose order is that of the rows."""
     rows = matrix_bytes(matrix).repartitionByRange("row").sortWithinPartitions("row")
@@ -124,7 +131,7 @@ def write_matrix_binary(matrix: DataFrame, path: str) -> list[str]:
 
 def write_float_arrays(arrays: DataFrame, path: str) -> list[str]:
     """One file of big-endian float32 for each row (name, values), called name.dat; null values have none."""
-    return _write_blobs(arrays.select("name", _packer(">f4")("values").alias("data")), path, ".dat", "name")
+    return write_files(arrays.select("name", _packer(">f4")("values").alias("data")), path, ".dat")
 
 
 def distance_rows(pairs: DataFrame, keys: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quadrat.plans import catalogue
 from quadrat.plans.oracle import SQL
-from quadrat.plans.queries import QUERIES
 
+QUERIES = catalogue()
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
