@@ -66,8 +66,8 @@ def test_against_a_brute_force_pipeline(spark, case):
     shared = pathlib.Path(common.shared_folder(spark).removeprefix("file://"))
     there = set(shared.iterdir())
     rows = corpus_pipeline.run(spark, folder).collect()
-    left = set(shared.iterdir()) - there
-    assert len(left) == 1 and [p.name for p in left.pop().iterdir()] == ["4_packing"]
+    remains = set(shared.iterdir()) - there
+    assert len(remains) == 1 and [p.name for p in remains.pop().iterdir()] == ["4_packing"]
     got = {}
     for r in rows:
         assert r.used == sum(r.lengths) <= 4096 and r.used + r.waste == 4096
