@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..engine import Application, all_pairs
 from ..functions.sequences import kmer_counts
+from ..options import Options
 
 ALPHABETS = {"dna": "ACGT", "protein": "ACDEFGHIKLMNPQRSTVWYX"}
 _DIGITS = "0123456789ABCDEFGHIJK"
@@ -173,12 +175,21 @@ def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def shared_dots(xs: Sparse, ys: Sparse) -> np.ndarray:
+    """Dot products; NaN for vectors that share no code."""
+    ones = [Sparse(v.offsets, v.codes, np.ones(len(v.codes))) for v in (xs, ys)]
+    return np.where(cosine_block(*ones) > 0, cosine_block(xs, ys), np.nan)
+
+
 def sparse_dots(vecs: DataFrame, include_diagonal: bool = True) -> DataFrame:
-    """(i, j, dot) of the documents that share a code, by an equi-join on code."""
-    a = vecs.select(F.col("doc").alias("i"), "code", F.col("val").alias("a"))
-    b = vecs.select(F.col("doc").alias("j"), "code", F.col("val").alias("b"))
-    test = F.col("i") <= F.col("j") if include_diagonal else F.col("i") < F.col("j")
-    return a.join(b, "code").where(test).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    """(i, j, dot) of the documents that share a code.
+
+    By tiles of vectors, so a code that all documents have doesn't join all rows on one key.
+    """
+    v = vecs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("code", "val"))).alias("payload"))
+    app = Application(key="doc", block=shared_dots, decode=decode_sparse)
+    out = all_pairs(app, v, Options(include_diagonal=include_diagonal))
+    return out.where(~F.isnan("result")).select("i", "j", F.col("result").alias("dot"))
 
 
 def size_report(docs: DataFrame, doc: str, seq: str, vecs: DataFrame) -> DataFrame:
