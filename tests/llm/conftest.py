@@ -36,8 +36,8 @@ def odd(spark):
         (8, "a", "en", "s", 1),
         (9, "> quoted\n>> twice\nMIT", "en", "s", 1),
     ]
-    extra = "id long, t string, n long, key long, recipe string, `copy` string, leaked string, toxicity string, removed_id string, r string, score string, g string"
-    return spark.createDataFrame([(*r, 1, "t", 2, 3, "a", "b", "c", "d", "e", "f", "g", "h") for r in rows], f"{DOCS}, {extra}")
+    extra = "id long, t string, n long, key long, recipe string, `copy` string, leaked string, toxicity string, removed_id string, r string, score string, g string, h long, i string, w long, y string, x string, d0 long, part int, size long, page string, gone_id string, shared_id long, key0 string, first_id long, text_bytes string, file string, version string, shard int"
+    return spark.createDataFrame([(*r, 1, "t", 2, 3, "a", "b", "c", "d", "e", "f", "g", "h", 1, "i", 2, "y", "x", 3, 4, 5, None, "p", 6, None, 7, "t", "f", "v", 8) for r in rows], f"{DOCS}, {extra}")
 
 
 @pytest.fixture
