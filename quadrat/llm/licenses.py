@@ -124,6 +124,18 @@ TEMPLATES: dict[str, list[str]] = {
         "This is free and unencumbered software released into the public domain.",
     ],
     "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Use, modification and distribution are subject to the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "Artistic-2.0": ["This package is licensed under the Artistic License 2.0.", "You may redistribute it under the same terms as Perl itself.", "SPDX-License-Identifier: Artistic-2.0"],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL.", "SPDX-License-Identifier: EUPL-1.2"],
+    "CDDL-1.0": ["The contents of this file are subject to the terms of the Common Development and Distribution License.", "SPDX-License-Identifier: CDDL-1.0"],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1.", "SPDX-License-Identifier: OFL-1.1"],
+    "WTFPL": ["Licensed under the Do What The Fuck You Want To Public License, version 2.", "SPDX-License-Identifier: WTFPL"],
+    "PostgreSQL": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."],
     "Proprietary": ["All rights reserved.", "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
 
