@@ -11,8 +11,9 @@ whole file, and a reader that wants one document reads the table and one frame.
 
 Every write() has a subfolder of its own, so it leaves other writes' files alone.
 A task writes under a name that no other attempt uses, and only the successful
-attempt's name is in the index; files of lost or speculative attempts of this
-write are removed when its index is committed to the shared folder.
+attempt's name is in the index, a Parquet table in that subfolder. Its commit is the
+write's: committed() reads the indexes of finished writes only, and files of lost or
+speculative attempts of this write are removed after it.
 
 Defined results: a null text has no frame and isn't in the index; an empty text
 has a frame of the end-of-text token alone; a very long text is one frame, held in
@@ -33,10 +34,10 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, tokenization
+from . import tokenization
 
 INDEX = "doc_id long, file string, frame long, offset long, bytes long, tokens long, checksum long"
 #: Ends of the names of files by the type of their ids.
@@ -129,11 +130,22 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         if writer is not None:
             writer.close()
 
-    index = common.stored(base.mapInArrow(run, INDEX), "token-index")
+    spark = docs.sparkSession
+    base.mapInArrow(run, INDEX).write.parquet(f"{uri}/{own}/index")
+    index = spark.read.schema(INDEX).parquet(f"{uri}/{own}/index")
     _remove_orphans(index, f"{uri}/{own}")
     return index
 
 
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of all finished writes below folder."""
+    uri = _normal(_uri(folder))
+    fs, path = pafs.FileSystem.from_uri(uri)
+    writes = [i.base_name for i in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if i.base_name.startswith("write-")]
+    done = [w for w in sorted(writes) if fs.get_file_info(f"{path}/{w}/index/_SUCCESS").type == pafs.FileType.File]
+    return spark.read.schema(INDEX).parquet(*[f"{uri}/{w}/index" for w in done]) if done else spark.createDataFrame([], INDEX)
+
+
 def _remove_orphans(index: DataFrame, uri: str) -> None:
     """Delete files of this write that no successful task wrote."""
     fs, path = pafs.FileSystem.from_uri(uri)

@@ -81,7 +81,11 @@ def test_a_second_write_keeps_the_first(spark, tmp_path, rng):
     first, rows = _stored(docs.where("doc_id < 10"), tmp_path / "t")
     second, more = _stored(docs.where("doc_id >= 10"), tmp_path / "t")
     assert _files(tmp_path / "t") == {r.file for r in [*rows.values(), *more.values()]}
-    both = tokenstore.read(first.unionByName(second), str(tmp_path / "t")).collect()
+    (tmp_path / "t" / "write-unfinished" / "index").mkdir(parents=True)
+    index = tokenstore.committed(spark, str(tmp_path / "t"))
+    assert sorted(index.collect()) == sorted(first.unionByName(second).collect())
+    assert tokenstore.committed(spark, str(tmp_path / "nothing")).count() == 0
+    both = tokenstore.read(index, str(tmp_path / "t")).collect()
     coder, texts = tokenization.encoder(), {r.doc_id: r.text for r in docs.collect()}
     assert {r.doc_id: coder.decode(r.ids[:-1]) for r in both} == texts
 
