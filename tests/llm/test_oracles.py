@@ -5,9 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.llm import exact, queries, threads
+from quadrat.llm import decontam, exact, neardup, queries, threads
 
 from .conftest import DOCS, prose
+from .test_decontam import ITEMS, _case
+from .test_dedup import _edited
 from .test_threads import MESSAGES, _conversation
 
 
@@ -37,3 +39,20 @@ def test_exact_dedup(spark, rng):
     texts = [prose(rng, 20) for _ in range(6)] + [""]
     df = spark.createDataFrame([(k, texts[k % 7], "en", "s", 0) for k in range(40)], DOCS)
     _same(exact.duplicates(df), queries.ORACLE_SQL["op8_exact_dedup"], documents=df)
+
+
+def test_near_dedup(spark, rng):
+    texts = []
+    for n in rng.integers(5, 200, 25):
+        first = prose(rng, n)
+        texts += [first] + [_edited(rng, first, s) for s in rng.uniform(0.005, 0.05, 2)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate([*texts, "", "a", "A.", None])], DOCS)
+    _same(neardup.duplicates(df), queries.ORACLE_SQL["op4_minhash_near_dedup"], documents=df)
+
+
+def test_decontamination(spark, rng):
+    docs, items = _case(rng, 0.05)
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs] + [(900, "", "en", "s", 0), (901, None, "en", "s", 0)], DOCS)
+    b = spark.createDataFrame([*items, (90, ""), (91, None), (92, "one"), (93, items[0][1])], ITEMS)
+    out = decontam.leaks(df, b).withColumn("similarity", F.round("similarity", 6))
+    _same(out, queries.ORACLE_SQL["op1_decontamination"], documents=df, benchmark=b)
