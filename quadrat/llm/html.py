@@ -46,7 +46,6 @@ from . import common
 MIN_PAGES, SHARE, BLOCK_SHARE = 5, 0.01, 0.5
 
 _TAG = re.compile(r"""<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>""")
-_SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(f"</{t}[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg")}
 _NO_TEXT = frozenset("script style head title noscript template svg".split())
@@ -94,7 +93,7 @@ def parse(page: str) -> tuple[list[tuple[str, object]], list[_Node]]:
 
     def text(s: str) -> None:
         if s and not s.isspace():
-            stack[-1].parts.append(_SPACE.sub(" ", s.strip()))
+            stack[-1].parts.append(" ".join(s.split()))
             tokens.append(("text", s))
         elif s:
             tokens.append(("text", " "))
@@ -119,11 +118,11 @@ def parse(page: str) -> tuple[list[tuple[str, object]], list[_Node]]:
                     close()
                 close()
             continue
-        if tag in _SAME:
-            while any(scopes[-1].get(t) for t in _SAME[tag]):
+        for t in _SAME.get(tag, ()):
+            while scopes[-1].get(t):
                 close()
         attributes = m[3] if m[2] else m[6]
-        node = _Node(tag, len(tokens), [tag, _SPACE.sub(" ", attributes.strip(" /\n\t"))])
+        node = _Node(tag, len(tokens), [tag, " ".join(attributes.strip(" /\n\t").split()) if attributes else ""])
         nodes.append(node)
         tokens.append(("open", node))
         stack.append(node)
@@ -176,7 +175,7 @@ def extract(page: str, drop: frozenset[int] | set[int]) -> tuple[str, int]:
             lines.append("".join(line))
             line = []
     lines.append("".join(line))
-    clean = (_SPACE.sub(" ", entities.unescape(s)).strip() for s in lines)
+    clean = (" ".join(entities.unescape(s).split()) for s in lines)
     return "\n".join(s for s in clean if s), removed
 
 
