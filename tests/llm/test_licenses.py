@@ -1,3 +1,6 @@
+import collections
+import math
+import re
 import textwrap
 
 import numpy as np
@@ -105,6 +108,30 @@ def test_recall_of_planted_wrapped_notices(model):
     assert total >= 90 and found >= 0.9 * total  # some have lost the word that tells their family
 
 
+def test_similarities_and_completeness_by_definition(model):
+    """Containment from words counted by plain Python: what is reported holds enough, and lines that hold none never are."""
+    pairs = lambda t: set(zip(w := re.findall(r"\w+", t.lower()), w[1:]))
+    notices = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    df = collections.Counter(p for _, t in notices for p in pairs(t))
+    weight = {p: 1 + math.log(len(notices) / n) for p, n in df.items()}
+    held = lambda line, t: sum(weight[p] for p in pairs(t) & pairs(line)) / sum(weight[p] for p in pairs(t))
+    r = np.random.default_rng(6)
+    lines = []
+    for _ in range(300):
+        w = notices[int(r.integers(len(notices)))][1].split()
+        a = int(r.integers(max(1, len(w) // 2)))
+        lines.append(" ".join([*prose(r, int(r.integers(1, 8))).split(), *w[a : a + int(r.integers(2, 40))]]))
+    got = {x[0]: x for x in model.findings(pa.array(lines))}
+    assert len(got) >= 60
+    for k, line in enumerate(lines):
+        best = {f: max(held(line, t) for t in ts) for f, ts in licenses.TEMPLATES.items()}
+        if k in got:
+            _, _, family, probability, _, similarity = got[k]
+            assert similarity == pytest.approx(best[family]) and similarity >= model.contained and probability >= model.confident
+        elif max(best.values()) >= 0.999:  # a whole notice is missed only where two families share it
+            assert sum(v >= 0.8 for v in best.values()) > 1
+
+
 def test_scan(spark, rng, odd, none):
     rows = [(k, prose(rng, 40) + ("\nLicensed under the Apache License, Version 2.0." if k % 5 == 0 else ""), "en", "s", 0) for k in range(60)]
     out = licenses.scan(spark.createDataFrame(rows, DOCS)).collect()

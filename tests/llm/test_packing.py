@@ -146,3 +146,15 @@ def test_packed_documents(spark, rng, odd, none):
     ids = [i for r in odd_rows for i, s in zip(r.doc_ids, r.starts) if s == 0]
     assert sorted(x for x in ids if x is not None) == [1, 1, 3, 4, 5, 6, 7, 8, 9] and ids.count(None) == 1
     assert packing.packed(none).count() == 0
+
+
+def test_the_query_packs_each_group_into_as_few_bins_as_possible(spark, rng):
+    docs = spark.createDataFrame([(k, prose(rng, int(n)), "en", "s", 0) for k, n in enumerate(rng.integers(20, 110, 36))], DOCS).repartition(4)
+    rows = packing.packed(docs, capacity=512, group_docs=12).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.bin_id >> 32, []).append(r)
+    assert len(groups) == 3 and sorted(i for r in rows for i in r.doc_ids) == list(range(36))
+    for bins in groups.values():
+        sizes = sorted((n for r in bins for n in r.lengths), reverse=True)
+        assert len(bins) == -(-sum(sizes) // 512) or not _fits(sizes, len(bins) - 1, 512)
