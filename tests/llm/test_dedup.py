@@ -190,7 +190,7 @@ def test_pairs_that_only_the_second_search_finds_are_verified(spark, rng, monkey
 def test_rows_that_share_an_id_are_one_text_in_any_order(spark, rng):
     a, b = prose(rng, 60), prose(rng, 60)
     rows = [(1, a, None, None, None), (2, a + " more", None, None, None), (2, b, None, None, None), (2, "", None, None, None)]
-    got = {str(_pairs(neardup.duplicates(spark.createDataFrame([rows[k] for k in order], DOCS).repartition(n)))) for order in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)) for n in (1, 3)}
+    got = {str(_pairs(neardup.duplicates(spark.createDataFrame([rows[k] for k in order], DOCS).repartition(n)))) for order, n in (((0, 1, 2, 3), 1), ((3, 2, 1, 0), 1), ((2, 0, 3, 1), 3))}
     assert len(got) == 1 and got <= {"[]", "[(2, 1)]"}
 
 
