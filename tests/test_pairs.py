@@ -90,6 +90,33 @@ def test_arrivals_are_compared_as_in_a_batch(spark, kind, tile):
     assert len(got) == len(set(got)) == 21 - 6 and old | set(got) == want
 
 
+def _shuffled(spark, run):
+    """Records that run() writes to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+@pytest.mark.parametrize("tile", [1, 4, 60])
+def test_tile_pairs_shuffle_each_item_once_a_side(spark, tile):
+    items = P.positions(_items(spark, 240), "k")
+    assert items.count() == 240
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more items
+    try:
+        n = _shuffled(spark, lambda: P.tile_pairs(items, tile).agg(F.sum("j.k")).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n < 3 * 240
+
+
 def test_failed_pairs_have_a_null_result_and_an_error(spark):
     items = spark.createDataFrame([(0, [1.0]), (1, None), (2, [3.0])], "k long, payload array<double>")
     app = engine.Application(key="k", pair=lambda a, b: a[0] * b[0])
