@@ -117,6 +117,15 @@ def test_tile_pairs_shuffle_each_item_once_a_side(spark, tile):
     assert n < 3 * 240
 
 
+@pytest.mark.parametrize("name", ["emb_cosine"])
+def test_a_comparison_shuffles_no_copies_of_its_vectors(spark, name):
+    from quadrat.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{data}/embeddings.parquet").count()
+    assert _shuffled(spark, lambda: QUERIES[name](spark, data).agg(F.count("*")).collect()) < 4 * n
+
+
 def test_failed_pairs_have_a_null_result_and_an_error(spark):
     items = spark.createDataFrame([(0, [1.0]), (1, None), (2, [3.0])], "k long, payload array<double>")
     app = engine.Application(key="k", pair=lambda a, b: a[0] * b[0])
