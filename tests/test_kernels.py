@@ -148,3 +148,18 @@ def test_linkage_merges_by_mean_similarity(n, seed):
         assert sim == pytest.approx(best) and sim == pytest.approx(s[np.ix_(members[a], members[b])].mean())
         members[n + step] = members.pop(a) + members.pop(b)
         assert len(members[n + step]) == size
+
+
+def test_linkage_reports_one_sum_over_the_number():
+    """Six digits of a mean may hang on its last bit, so it is not carried from merge to merge."""
+    r = np.round(np.random.default_rng(3).random((30, 30)), 6)
+    s = np.triu(r, 1) + np.triu(r, 1).T
+    members = {k: [k] for k in range(30)}
+    for step, (a, b, sim, _) in enumerate(C.linkage(s)):
+        x, y = members.pop(a), members.pop(b)
+        total = 0.0  # sum() would compensate
+        for i in x[::-1]:
+            for j in y:
+                total += s[i, j]
+        assert sim == total / (len(x) * len(y))
+        members[30 + step] = x + y
