@@ -193,7 +193,10 @@ def sparse_dots(vecs: DataFrame, include_diagonal: bool = True) -> DataFrame:
 
 
 def size_report(docs: DataFrame, doc: str, seq: str, vecs: DataFrame) -> DataFrame:
-    """(max_chars, max_chars_doc, max_entries, max_entries_doc); ties go to the smallest document."""
+    """(max_chars, max_chars_doc, max_entries, max_entries_doc); ties go to the smallest document.
+
+    seq: texts as they are; those in upper case can be longer.
+    """
     chars = docs.agg(F.max(F.struct(F.length(seq).cast("long").alias("m"), (-F.col(doc)).alias("d"))).alias("x"))
     entries = vecs.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", (-F.col("doc")).alias("d"))).alias("y"))
     return chars.crossJoin(entries).select(F.col("x.m").alias("max_chars"), (-F.col("x.d")).alias("max_chars_doc"), F.col("y.n").alias("max_entries"), (-F.col("y.d")).alias("max_entries_doc"))
