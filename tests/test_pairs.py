@@ -117,7 +117,7 @@ def test_tile_pairs_shuffle_each_item_once_a_side(spark, tile):
     assert n < 3 * 240
 
 
-@pytest.mark.parametrize("name", ["emb_cosine", "emb_dot"])
+@pytest.mark.parametrize("name", ["emb_cosine", "emb_dot", "emb_ncc"])
 def test_a_comparison_shuffles_no_copies_of_its_vectors(spark, name):
     from quadrat.plans.queries import QUERIES
 
