@@ -163,3 +163,14 @@ def test_linkage_reports_one_sum_over_the_number():
                 total += s[i, j]
         assert sim == total / (len(x) * len(y))
         members[30 + step] = x + y
+
+
+def test_rounding_is_that_of_sql():
+    import duckdb
+
+    a = np.array([0.5e-6, -0.5e-6, 1.5e-6, -1.5e-6, 0.4999999e-6, -1e-9, 0.0, -0.0, 1.0000005, -2.0000015, 0.1234565, 1e12, 3e15 + 0.5, -1e303, 1e308, np.inf, -np.inf, np.nan, 0.49999999999999994e-6])
+    a = np.concatenate([a, np.arange(-2000, 2000) / 2**7 / 1e6 * 2**6, np.random.default_rng(0).standard_normal(5000)])
+    want = duckdb.execute("SELECT round(x, 6) + 0.0 FROM (SELECT unnest($1::DOUBLE[]) AS x)", [a.tolist()]).fetchnumpy()
+    want = np.ma.filled(next(iter(want.values())), np.nan)
+    got = I.rounded(a, 6)
+    assert np.array_equal(got, want, equal_nan=True) and not np.signbit(got[got == 0]).any()

@@ -126,6 +126,26 @@ def test_a_comparison_shuffles_no_copies_of_its_vectors(spark, name):
     assert _shuffled(spark, lambda: QUERIES[name](spark, data).agg(F.count("*")).collect()) < 4 * n
 
 
+@pytest.mark.parametrize("name", ["emb_cosine", "emb_dot"])
+def test_a_comparison_shuffles_each_vector_once(spark, name):
+    from quadrat.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{data}/embeddings.parquet").count()
+    assert _shuffled(spark, lambda: QUERIES[name](spark, data).agg(F.count("*")).collect()) < 1.5 * n
+
+
+@pytest.mark.parametrize("n, edge, parts", [(0, 3, 1), (1, 3, 2), (50, 1, 3), (50, 7, 4), (50, 80, 2)])
+def test_ranged_blocks_are_in_order(spark, n, edge, parts):
+    items = _items(spark, n).select((F.col("k") % 20).alias("k"), F.array("k").alias("payload"))
+    packed, count = P.ranged_blocks(items, edge, parts, "k")
+    rows = packed.orderBy("block").collect()
+    assert [r.block for r in rows] == list(range(count)) and all(0 < len(r["items"]) <= edge for r in rows)
+    flat = [x for r in rows for x in r["items"]]
+    assert [x.k for x in flat] == sorted(k % 20 for k in range(n)) and sorted(x.payload[0] for x in flat) == list(range(n))
+    assert all(a.pos < b.pos for a, b in zip(flat, flat[1:]))
+
+
 def test_failed_pairs_have_a_null_result_and_an_error(spark):
     items = spark.createDataFrame([(0, [1.0]), (1, None), (2, [3.0])], "k long, payload array<double>")
     app = engine.Application(key="k", pair=lambda a, b: a[0] * b[0])
