@@ -135,6 +135,41 @@ def test_a_comparison_shuffles_each_vector_once(spark, name):
     assert _shuffled(spark, lambda: QUERIES[name](spark, data).agg(F.count("*")).collect()) < 1.5 * n
 
 
+def _sizes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["emb_cosine", "emb_dot", "emb_ncc"])
+def test_vectors_are_shuffled_as_short_as_they_are_stored(spark, name):
+    """64 numbers of 4 bytes a vector, once, and what a row has besides."""
+    from quadrat.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    n, before = spark.read.parquet(f"{data}/embeddings.parquet").count(), _sizes(spark)
+    QUERIES[name](spark, data).agg(F.count("*")).collect()
+    assert _sizes(spark) - before < 400 * n
+
+
+def test_ncc_of_odd_vectors(spark, tmp_path):
+    from quadrat.plans.queries import QUERIES
+
+    v = [[1.0, 2.0, 3.0], [2.0, 4.0, 7.0], None, [1.0, None, 2.0], [5.0, 5.0, 5.0], [1.0, 2.0], [3.0, -1.0, 0.0]]
+    spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.i, r.j): r.ncc for r in QUERIES["emb_ncc"](spark, str(tmp_path)).collect()}
+    assert len(got) == 21
+    for (i, j), r in got.items():
+        if {i, j} & {2, 5}:
+            assert r is None
+        elif {i, j} & {3, 4}:
+            assert np.isnan(r)
+        else:
+            a, b = (np.array(v[k]) - np.mean(v[k]) for k in (i, j))
+            assert abs(r - a @ b / np.sqrt(a @ a * (b @ b))) < 1e-6
+
+
 @pytest.mark.parametrize("n, edge, parts", [(0, 3, 1), (1, 3, 2), (50, 1, 3), (50, 7, 4), (50, 80, 2)])
 def test_ranged_blocks_are_in_order(spark, n, edge, parts):
     items = _items(spark, n).select((F.col("k") % 20).alias("k"), F.array("k").alias("payload"))
